@@ -1,4 +1,10 @@
-"""Corpus pipeline: documents through the stages below, each written and read again."""
+"""Corpus pipeline: documents go through the stages below, each written as Parquet and read again.
+
+Quality rules and the quality classifier drop what they reject, the n-gram join leaves one document
+of each near-duplicate class, decontamination drops documents that hold a benchmark item, and
+packing turns the rest into pieces of token sequences. All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +12,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import quality_rules
+from concordat.llm import decontamination, ngram_join, packing, quality_rules, resampling
+from concordat.llm.common import Scratch
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules_stage)]
+def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resampling.filter_resampled(docs, _table(spark, sf_dir, "labels"))
+
+
+def apply_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each(docs)
+
+
+def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", apply_quality_rules),
+    ("quality_classifier", apply_quality_classifier),
+    ("ngram_jaccard_join", apply_ngram_join),
+    ("benchmark_decontamination", apply_decontamination),
+    ("packing", apply_packing),
+]
 
-#: Later stages sample with noise and tokenise, which SQL cannot express.
-ORACLE_SQL = None
+#: Sampling, minwise hashing, edit distances and token ids are not expressible in SQL;
+#: tests/llm/test_pipeline.py holds the stages against brute force instead.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply all stages to ``documents``; the tables between them go to the shared scratch folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
