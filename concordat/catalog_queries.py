@@ -1,19 +1,513 @@
-"""The registry behind ``queries()`` and ``oracle_sql()``."""
+"""The registry behind ``queries()`` and ``oracle_sql()``: every operator over whole driver tables, or over
+literal catalog facts where no table has any."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concordat import fixtures
+from concordat.errors import describe_refusal
+from concordat.functions import cells, codecs, expressions
+from concordat.functions.encoding import bucketed_digest, load_line, row_digest, table_digest
+from concordat.manifest import ColumnSpec, parse_manifest
+from concordat.operators import catalog, gate, keys, profile, reconcile, schema_diff, sequences, topology, validation
+from concordat.plans.export import ledger_difference
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spec(codec: str, nullable: bool = True, **options: object) -> ColumnSpec:
+    given = {"version": 1, "tables": {"t": {"columns": {"k": {"codec": "bigint", "nullable": False}, "c": {"codec": codec, "nullable": nullable, **options}}, "primaryKey": ["k"]}}}
+    return parse_manifest(given).tables["t"].column("c")
+
+
+def _read(df: DataFrame, key: str, spec: ColumnSpec, side: str, value: Column) -> DataFrame:
+    """``(key, canonical, err)`` of one column."""
+    return df.select(key, value.alias("v")).select(key, codecs.canonical(spec, side, F.col("v")).alias("canonical"), codecs.error(spec, side, F.col("v")).alias("err"))
+
+
+# --- scans ------------------------------------------------------------------------------------
+
+
+@_query("""select count(*) as rows, cast(sum(length(cast(doc_id as varchar)) + coalesce(octet_length(encode(text)), 0) + octet_length(encode(lang)) + octet_length(encode(source)) + length(cast(n_chars as varchar))) as bigint) as bytes,
+ coalesce(bool_or(contains(text, chr(0))), false) as nul_text, false as bad_utf8_text from documents""")
+def scan_profile_documents(spark, sf_dir):
+    return profile.scan_profile(_t(spark, sf_dir, "documents")).select("rows", "bytes", "nul_text", "bad_utf8_text")
+
+
+@_query("""select count(*) as rows, cast(sum(length(cast(o_orderkey as varchar)) + length(cast(o_custkey as varchar)) + length(o_orderstatus) + length(cast(o_totalprice as varchar)) + length(o_orderpriority)) as bigint) as bytes,
+ false as nul_o_orderstatus, false as nul_o_orderpriority from orders""")
+def scan_profile_orders(spark, sf_dir):
+    out = profile.scan_profile(_t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return out.select("rows", "bytes", "nul_o_orderstatus", "nul_o_orderpriority")
+
+
+@_query("select coalesce(bool_or(contains(text, chr(0))), false) as nul_text, coalesce(bool_or(contains(role, chr(0))), false) as nul_role from conversations")
+def nul_scan_conversations(spark, sf_dir):
+    return profile.scan_profile(_t(spark, sf_dir, "conversations")).select("nul_text", "nul_role")
+
+
+@_query("select false as bad_utf8_text, false as bad_utf8_source from documents limit 1")
+def utf8_invalid_documents(spark, sf_dir):
+    return profile.scan_profile(_t(spark, sf_dir, "documents"), ["text", "source"]).select("bad_utf8_text", "bad_utf8_source")
+
+
+@_query("""select count(*) filter (where length(p_name) > 15) as over_p_name, max(length(p_name)) as longest_p_name,
+ count(*) filter (where length(p_type) > 10) as over_p_type, max(length(p_type)) as longest_p_type from part""")
+def varchar_overflow_part(spark, sf_dir):
+    return profile.text_lengths(_t(spark, sf_dir, "part"), {"p_name": 15, "p_type": 10})
+
+
+@_query("select count(*) filter (where length(text) > 1000) as over_text, max(length(text)) as longest_text from documents")
+def text_lengths_documents(spark, sf_dir):
+    return profile.text_lengths(_t(spark, sf_dir, "documents"), {"text": 1000})
+
+
+@_query("""select min(l_orderkey) as lo_l_orderkey, max(l_orderkey) as hi_l_orderkey, min(l_partkey) as lo_l_partkey, max(l_partkey) as hi_l_partkey,
+ cast(min(l_linenumber) as bigint) as lo_l_linenumber, cast(max(l_linenumber) as bigint) as hi_l_linenumber from lineitem""")
+def integer_width_lineitem(spark, sf_dir):
+    return profile.integer_bounds(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber"])
+
+
+@_query("""select 'o_orderkey' as column, count(*) - count(o_orderkey) as nulls from orders union all select 'o_custkey', count(*) - count(o_custkey) from orders
+ union all select 'o_totalprice', count(*) - count(o_totalprice) from orders""")
+def null_violations_orders(spark, sf_dir):
+    return profile.null_violations(_t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@_query("""select 'orders' as "table", exists (select 1 from orders) as non_empty union all select 'labels', exists (select 1 from labels) union all select 'refunds', false""")
+def non_empty_tables(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    return profile.non_empty({"orders": orders, "labels": _t(spark, sf_dir, "labels"), "refunds": orders.filter("o_orderstatus = 'refunded'")})
+
+
+# --- keys -------------------------------------------------------------------------------------
+
+
+@_query("select d.doc_id from documents d where d.doc_id is not null and not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def orphan_documents_labels(spark, sf_dir):
+    return keys.orphans(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"], ["doc_id"])
+
+
+@_query("select count(*) as orphans from lineitem l where l_orderkey is not null and not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey)")
+def orphan_lineitem_orders(spark, sf_dir):
+    return keys.orphan_count(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"), ["l_orderkey"], ["o_orderkey"])
+
+
+@_query("""select count(*) as orphans from lineitem l where l_partkey is not null and l_suppkey is not null
+ and not exists (select 1 from lineitem r where r.l_returnflag = 'R' and r.l_partkey = l.l_partkey and r.l_suppkey = l.l_suppkey)""")
+def orphan_composite(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem")
+    return keys.orphan_count(items, items.filter("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], ["l_partkey", "l_suppkey"])
+
+
+@_query("select l_orderkey, l_linenumber, count(*) as rows from lineitem group by all having count(*) > 1")
+def duplicate_keys_lineitem(spark, sf_dir):
+    return keys.duplicate_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("""select cast(count(*) as bigint) as repeats from (select l_orderkey, l_linenumber, lag(l_orderkey) over w as pk, lag(l_linenumber) over w as pl from lineitem window w as (order by l_orderkey, l_linenumber)) where pk = l_orderkey and pl = l_linenumber""")
+def adjacent_repeats_lineitem(spark, sf_dir):
+    return keys.adjacent_repeats(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("select doc_id from documents except select doc_id from labels")
+def except_documents_labels(spark, sf_dir):
+    return keys.missing_and_extra(_t(spark, sf_dir, "labels").select("doc_id"), _t(spark, sf_dir, "documents").select("doc_id"))[0]
+
+
+@_query("select source as id, 'missing' as side from documents where lang = 'en' group by 1 having source not in (select distinct source from documents where lang = 'es') union all select distinct source, 'extra' from documents where lang = 'es' and source not in (select source from documents where lang = 'en')")
+def ledger_difference_sources(spark, sf_dir):
+    ids = _t(spark, sf_dir, "documents").select(F.col("source").alias("id"), "lang")
+    return ledger_difference(ids.filter("lang = 'es'").select("id").distinct(), ids.filter("lang = 'en'").select("id").distinct())
+
+
+@_query("select item_id, cast(row_number() over (order by encode(text), item_id) as bigint) as position from benchmark")
+def binary_order_benchmark(spark, sf_dir):
+    return keys.binary_order(_t(spark, sf_dir, "benchmark"), F.struct("text", "item_id")).select("item_id", "position")
+
+
+_UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@_query(f"select r_regionkey, cast(row_number() over (order by lower(u)) as bigint) as position from (select r_regionkey, {_UUID_SQL} as u from (select r_regionkey, upper(md5(r_name)) as h from region))")
+def uuid_order_region(spark, sf_dir):
+    df = _t(spark, sf_dir, "region").select("r_regionkey", F.upper(F.md5("r_name")).alias("h")).select("r_regionkey", F.expr(_UUID_SQL).alias("u"))
+    return keys.binary_order(df, reconcile.sort_key(F.col("u"), "uuid-text")).select("r_regionkey", "position")
+
+
+# --- codecs -----------------------------------------------------------------------------------
+
+
+@_query("select c_custkey, c_name as canonical, cast(null as varchar) as err from customer")
+def codec_text(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "customer"), "c_custkey", _spec("text"), "loose", cells.text_cell(F.col("c_name")))
+
+
+@_query("select p_partkey, cast(p_size as varchar) as canonical, cast(null as varchar) as err from part")
+def codec_integer(spark, sf_dir):
+    text = F.concat(F.lit("000"), F.col("p_size").cast("string"))
+    return _read(_t(spark, sf_dir, "part"), "p_partkey", _spec("integer"), "loose", cells.text_cell(text))
+
+
+@_query("select o_orderkey, case when o_orderkey * 1000000000000 <= 9223372036854775807 then cast(o_orderkey * 1000000000000 as varchar) end as canonical, case when o_orderkey * 1000000000000 > 9223372036854775807 then 'CODEC_LOSSY' end as err from (select o_orderkey::hugeint as big, o_orderkey from orders)".replace("o_orderkey * 1000000000000", "big * 1000000000000000"))
+def codec_bigint(spark, sf_dir):
+    text = F.concat(F.col("o_orderkey").cast("string"), F.lit("000000000000000"))
+    return _read(_t(spark, sf_dir, "orders"), "o_orderkey", _spec("bigint"), "loose", cells.text_cell(text))
+
+
+@_query(r"select o_orderkey, regexp_replace(cast(o_totalprice as varchar), '\.0$', '') as canonical, cast(null as varchar) as err from orders")
+def codec_real(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "orders"), "o_orderkey", _spec("real"), "loose", cells.real_cell(F.col("o_totalprice")))
+
+
+@_query(r"select o_orderkey, regexp_replace(regexp_replace(cast(cast(o_totalprice as decimal(18, 4)) as varchar), '0+$', ''), '\.$', '') as canonical, cast(null as varchar) as err from orders")
+def codec_decimal(spark, sf_dir):
+    text = F.concat(F.lit("+0"), F.col("o_totalprice").cast("decimal(18,4)").cast("string"))
+    return _read(_t(spark, sf_dir, "orders"), "o_orderkey", _spec("decimal-as-string"), "loose", cells.text_cell(text))
+
+
+@_query(r"select c_custkey, regexp_replace(cast(c_acctbal as varchar), '\.0$', '') as canonical, cast(null as varchar) as err from customer")
+def codec_decimal_numeric(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "customer"), "c_custkey", _spec("decimal-as-string", acceptSqliteNumeric=True), "loose", cells.real_cell(F.col("c_acctbal")))
+
+
+@_query("select doc_id, case quality when 1 then 'true' else 'false' end as canonical, cast(null as varchar) as err from labels")
+def codec_boolean(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "labels"), "doc_id", _spec("boolean"), "loose", cells.integer_cell(F.col("quality")))
+
+
+@_query("select page_id, sha256(html) as canonical, cast(null as varchar) as err from pages")
+def codec_blob(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "pages"), "page_id", _spec("blob"), "loose", cells.blob_cell(F.encode("html", "UTF-8")))
+
+
+@_query(f"select page_id, lower({_UUID_SQL}) as canonical, cast(null as varchar) as err from (select page_id, upper(md5(url)) as h from pages)")
+def codec_uuid(spark, sf_dir):
+    df = _t(spark, sf_dir, "pages").select("page_id", F.upper(F.md5("url")).alias("h"))
+    return _read(df, "page_id", _spec("uuid-text"), "loose", cells.text_cell(F.expr(_UUID_SQL)))
+
+
+@_query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as canonical, cast(null as varchar) as err from orders")
+def codec_date(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "orders"), "o_orderkey", _spec("date-text"), "strict", F.col("o_orderdate").cast("date"))
+
+
+@_query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as canonical, cast(null as varchar) as err from events")
+def codec_ts_naive(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("timestamp-naive"), "strict", F.col("ts"))
+
+
+@_query("select event_id, strftime(ts - interval 2 hour, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' as canonical, cast(null as varchar) as err from events")
+def codec_ts_iso(spark, sf_dir):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("timestamp-iso", preserveText=False), "loose", cells.text_cell(text))
+
+
+@_query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000Z' as canonical, cast(null as varchar) as err from events")
+def codec_epoch_s(spark, sf_dir):
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint")
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("timestamp-epoch-s", preserveInteger=False), "loose", cells.integer_cell(seconds))
+
+
+@_query("select event_id, cast(epoch_us(ts) // 1000 as varchar) as canonical, cast(null as varchar) as err from events")
+def codec_epoch_ms(spark, sf_dir):
+    millis = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("timestamp-epoch-ms"), "loose", cells.integer_cell(millis))
+
+
+@_query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000Z' as canonical, cast(null as varchar) as err from events")
+def codec_epoch_mixed(spark, sf_dir):
+    seconds = F.expr("unix_micros(cast(ts as timestamp)) div 1000000")
+    value = F.when(F.col("event_type") == "view", cells.text_cell(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).otherwise(cells.integer_cell(seconds * 1000))
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("timestamp-epoch-ms", preserveInteger=False, acceptSqliteDatetimeText=True), "loose", value)
+
+
+@_query("select event_id, replace(props, ': ', ':') as canonical, cast(null as varchar) as err from events")
+def codec_json(spark, sf_dir):
+    return _read(_t(spark, sf_dir, "events"), "event_id", _spec("json-text", pgType="jsonb"), "loose", cells.text_cell(F.col("props")))
+
+
+@_query("""select d.doc_id, cast(l.quality as varchar) as canonical, case when l.quality is null then 'CODEC_NULL' end as err from documents d left join labels l on l.doc_id = d.doc_id""")
+def codec_null(spark, sf_dir):
+    df = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return _read(df, "doc_id", _spec("integer", nullable=False), "loose", cells.integer_cell(F.col("quality")))
+
+
+def _literal(rows: list[tuple], names: str) -> str:
+    def one(v: object) -> str:
+        return "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+    return f"select * from (values {body}) as v({names})"
+
+
+@_query(_literal([(k, c, want) for k, (c, _, want) in enumerate(fixtures.REJECTIONS)], "k, codec, err"))
+def codec_rejections(spark, sf_dir):
+    """Texts that each codec refuses, and close ones that it takes."""
+    df = spark.createDataFrame([(k, c, v) for k, (c, v, _) in enumerate(fixtures.REJECTIONS)], "k int, codec string, v string")
+    err = F.lit(None).cast("string")
+    for codec, options in fixtures.REJECTION_OPTIONS.items():
+        err = F.when(F.col("codec") == codec, codecs.error(_spec(codec, **options), "loose", cells.text_cell(F.col("v")))).otherwise(err)
+    return df.select("k", "codec", err.alias("err"))
+
+
+# --- encoding and reconciliation -----------------------------------------------------------------
+
+_ESC = r"replace(replace(replace(replace({c}, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r')"
+
+
+@_query(f"select doc_id, cast(doc_id as varchar) || chr(9) || coalesce({_ESC.format(c='text')}, '\\N') || chr(9) || case when n_chars > 500 then 't' else 'f' end as line from documents")
+def copy_text_documents(spark, sf_dir):
+    df = _t(spark, sf_dir, "documents").withColumn("is_long", F.col("n_chars") > 500)
+    return df.select("doc_id", load_line({"doc_id": "bigint", "text": "string", "is_long": "boolean"}).alias("line"))
+
+
+def _enc(c: str) -> str:
+    return f"case when {c} is null then '\\x00'::blob else '\\x01'::blob || unhex(lpad(printf('%x', octet_length(encode({c}))), 8, '0')) || encode({c}) end"
+
+
+_ORDER_COLUMNS = ["cast(o_orderkey as varchar)", "cast(o_custkey as varchar)", "o_orderstatus", r"regexp_replace(cast(o_totalprice as varchar), '\.0$', '')", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f')", "o_orderpriority"]
+_ORDER_ROW = f"sha256({' || '.join(map(_enc, _ORDER_COLUMNS))})"
+
+
+def _orders_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.canonical_frame(_t(spark, sf_dir, "orders"), fixtures.ORDERS, "strict")
+
+
+@_query(f"select cast(o_orderkey as varchar) as o_orderkey, {_ORDER_ROW} as sha256 from orders")
+def row_digest_orders(spark, sf_dir):
+    df = _orders_canonical(spark, sf_dir)
+    return df.select("o_orderkey", row_digest([F.col(c) for c in df.columns]).alias("sha256"))
+
+
+@_query(f"select n_nationkey, sha256({' || '.join(map(_enc, ['cast(n_nationkey as varchar)', 'n_name', 'cast(null as varchar)']))}) as sha256 from nation")
+def row_digest_nation(spark, sf_dir):
+    df = _t(spark, sf_dir, "nation")
+    return df.select("n_nationkey", row_digest([F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string")]).alias("sha256"))
+
+
+@_query(f"select count(*) as rows, sha256('concordat row encoding v1' || string_agg(h, '' order by k)) as sha256 from (select cast(o_orderkey as varchar) as k, {_ORDER_ROW} as h from orders)")
+def table_digest_orders(spark, sf_dir):
+    df = _orders_canonical(spark, sf_dir)
+    return table_digest(df, ["o_orderkey"], {c: F.col(c) for c in df.columns})
+
+
+@_query()
+def bucketed_digest_orders(spark, sf_dir):
+    df = _orders_canonical(spark, sf_dir)
+    return bucketed_digest(df, ["o_orderkey"], {c: F.col(c) for c in df.columns}, 4_000)
+
+
+def _tampered(df: DataFrame) -> DataFrame:
+    """A loose copy of orders as a careless hand would leave it: pending orders lost, the priority of
+    urgent ones rewritten, finished low ones entered twice under negative numbers."""
+    kept = df.filter("o_orderstatus <> 'P'").withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "1-URGENT", "1-urgent").otherwise(F.col("o_orderpriority")))
+    again = kept.filter("o_orderstatus = 'F' and o_orderpriority = '5-LOW'").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    both = kept.unionByName(again)
+    write = {"bigint": cells.integer_cell, "double": cells.real_cell, "string": cells.text_cell}
+    return both.select(*[(write[t](F.col(n)) if t in write else cells.text_cell(F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS"))).alias(n) for n, t in both.dtypes])
+
+
+_DIFF_SQL = """
+with l as (select * from orders where o_orderstatus <> 'P'),
+d as (select cast(o_orderkey as varchar) as o_orderkey, 'extra' as kind, cast(null as varchar) as column from orders where o_orderstatus = 'P'
+ union all select cast(o_orderkey as varchar), 'changed', 'o_orderpriority' from l where o_orderpriority = '1-URGENT'
+ union all select cast(-o_orderkey - 1 as varchar), 'missing', null from l where o_orderstatus = 'F' and o_orderpriority = '5-LOW')
+"""
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    loose = reconcile.canonical_frame(_tampered(orders), fixtures.ORDERS, "loose")
+    return reconcile.differences(loose, reconcile.canonical_frame(orders, fixtures.ORDERS, "strict"), ["o_orderkey"])
+
+
+@_query(_DIFF_SQL + "select * from d")
+def verify_diff_orders(spark, sf_dir):
+    return _diff(spark, sf_dir)
+
+
+@_query(_DIFF_SQL + "select o_orderkey, kind, \"column\" from d order by encode(o_orderkey) limit 1")
+def verify_first_difference(spark, sf_dir):
+    return reconcile.first_difference(_diff(spark, sf_dir), ["o_orderkey"])
+
+
+@_query("select count(*) as rows, cast(0 as bigint) as differing from events")
+def verify_roundtrip_events(spark, sf_dir):
+    """Strict to loose and back: the canonical texts of all events have to survive."""
+    events = _t(spark, sf_dir, "events")
+    there = events.select(*[codecs.to_loose(c, F.col(c.name))["value"].alias(c.name) for c in fixtures.EVENTS.columns])
+    diff = reconcile.differences(reconcile.canonical_frame(there, fixtures.EVENTS, "loose"), reconcile.canonical_frame(events, fixtures.EVENTS, "strict"), ["event_id"])
+    return events.agg(F.count("*").alias("rows")).crossJoin(diff.agg(F.count("*").alias("differing")))
+
+
+@_query("""select 'doc_id' as column, 'CODEC_LOSSY' as err, cast(0 as bigint) as rows where false union all
+ select 'text', 'CODEC_INVALID', count(*) from conversations where role = 'user' having count(*) > 0""")
+def codec_errors_conversations(spark, sf_dir):
+    df = _t(spark, sf_dir, "conversations")
+    loose = df.select(cells.integer_cell(F.col("conv_id")).alias("doc_id"), F.when(F.col("role") == "user", cells.blob_cell(F.encode("text", "UTF-8"))).otherwise(cells.text_cell(F.col("text"))).alias("text"))
+    return reconcile.codec_errors(loose, fixtures.CONVERSATIONS, "loose")
+
+
+# --- sequences ----------------------------------------------------------------------------------
+
+
+@_query("select max(event_id) as highest, min(event_id) as lowest, max(event_id) + 5 as high_water, max(event_id) + 6 as restart_with, true as in_range from events")
+def sequence_restart_events(spark, sf_dir):
+    facts = sequences.extremes(_t(spark, sf_dir, "events"), "event_id").select("highest", "lowest", (F.col("highest") + 5).alias("high_water"), F.lit(1).cast("long").alias("increment"), F.lit(1).alias("min"), F.lit((1 << 63) - 1).alias("max"))
+    return sequences.restarts(facts).select("highest", "lowest", "high_water", "restart_with", "in_range")
+
+
+@_query(_literal([(n, want, ok) for n, *_, want, ok in fixtures.RESTARTS], "name, restart_with, in_range").replace("select *", "select name, cast(restart_with as bigint) as restart_with, in_range"))
+def sequence_restart_cases(spark, sf_dir):
+    rows = [r[:-2] for r in fixtures.RESTARTS]
+    facts = spark.createDataFrame(rows, "name string, highest bigint, lowest bigint, high_water bigint, increment bigint, min bigint, max bigint")
+    return sequences.restarts(facts).select("name", "restart_with", "in_range")
+
+
+@_query("select 'events' as \"table\", max(event_id) + 40 as seq from events union all select 'orders', max(o_orderkey) from orders")
+def autoincrement_high_water(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").agg(F.max("event_id").alias("highest")).select(F.lit("events").alias("table"), "highest", (F.col("highest") + 40).alias("last_value"))
+    orders = _t(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("highest")).select(F.lit("orders").alias("table"), "highest", F.lit(3).cast("long").alias("last_value"))
+    none = spark.createDataFrame([("empty", None, 1)], "table string, highest bigint, last_value bigint")
+    facts = events.unionByName(orders).unionByName(none).withColumn("called", F.col("table") != "empty").withColumn("increment", F.lit(1).cast("long"))
+    return sequences.high_water(facts)
+
+
+@_query(_literal(fixtures.SEQUENCE_VERDICTS, 'sequence_oid, verdict, "table", "column", object').replace("select *", 'select cast(sequence_oid as bigint) as sequence_oid, verdict, "table", "column", object'))
+def sequence_classify(spark, sf_dir):
+    refs = gate.frame(spark, "sequence_refs", fixtures.SEQUENCE_REFS)
+    return sequences.classify(refs, spark.createDataFrame(fixtures.COPIED, "oid bigint, name string"))
+
+
+# --- gate, validation, schema difference ---------------------------------------------------------
+
+
+@_query(_literal([(k, *r) for k, r in enumerate(fixtures.GATE_EXPECTED)], 'place, code, "table", "column", object').replace("select *", 'select cast(place as bigint) as place, code, "table", "column", object'))
+def gate_refusals(spark, sf_dir):
+    """Every rule of the gate, in order, over a catalog with one fault of each kind."""
+    facts = {n: gate.frame(spark, n, rows) for n, rows in fixtures.GATE_FACTS.items()}
+    found = gate.evaluate(spark, facts, fixtures.GATE_MANIFEST, truncate=True)
+    return keys.binary_order(found, F.col("ord"), "place").select((F.col("place") - 1).alias("place"), "code", "table", "column", "object")
+
+
+@_query(_literal([("items", "skipped_log")], '"table", object').replace("select *", "select 'foreign-key-to-skipped-table' as code, \"table\", object") + " union all select 'foreign-key-to-skipped-table', 'parent', 'log_parent'")
+def fk_to_skipped(spark, sf_dir):
+    facts = {n: gate.frame(spark, n, rows) for n, rows in fixtures.SKIPPED_FACTS.items()}
+    return gate.evaluate(spark, facts, fixtures.GATE_MANIFEST, shape_only=True, owned=False).filter("code = 'foreign-key-to-skipped-table'").select("code", "table", "object")
+
+
+@_query(_literal(fixtures.VALIDATION_EXPECTED, 'code, side, "table", "column"'))
+def manifest_validate(spark, sf_dir):
+    return validation.validate(spark, fixtures.VALIDATION_MANIFEST, validation.sides_frame(spark, fixtures.VALIDATION_SIDES))
+
+
+def _model(spark: SparkSession) -> DataFrame:
+    df = schema_diff.model_frame(spark, fixtures.SCHEMA_MODEL)
+    kind = F.when(F.col("side") == "sqlite", expressions.loose_class(F.col("raw"))).otherwise(expressions.strict_class(F.col("raw")))
+    return df.withColumn("class", F.when(F.col("kind") == "column", kind))
+
+
+@_query(_literal(fixtures.SCHEMA_DIFFERENCES, 'kind, "table", name, sqlite, postgres'))
+def schema_difference(spark, sf_dir):
+    return schema_diff.schema_differences(spark, _model(spark))
+
+
+@_query(_literal([r for r in fixtures.SCHEMA_DIFFERENCES if r[0] != "index" and (r[1], r[2]) != ("users", "age")], 'kind, "table", name, sqlite, postgres'))
+def schema_difference_allowed(spark, sf_dir):
+    rules = spark.createDataFrame([("index", None, None), (None, "users", "age")], "kind string, table string, name string")
+    return schema_diff.without_allowed(schema_diff.schema_differences(spark, _model(spark)), rules)
+
+
+@_query(_literal(fixtures.TOPOLOGY_EXPECTED, "host, port, system_identifier, database, production"))
+def topology_production(spark, sf_dir):
+    schema = "host string, port int, system_identifier string, database string"
+    targets = spark.createDataFrame([r[:4] for r in fixtures.TOPOLOGY_EXPECTED], schema)
+    return topology.production(targets, spark.createDataFrame(fixtures.TOPOLOGY, schema + ", production boolean"))
+
+
+def _catalog(spark: SparkSession) -> dict[str, DataFrame]:
+    return {n: spark.createDataFrame(rows, schema) for n, (schema, rows) in fixtures.CATALOG.items()}
+
+
+def _fact_query(name: str, expected: list[tuple], columns: str, flat: dict[str, str] | None = None) -> None:
+    """Register a fact relation; arrays and maps are written as text so that both engines agree."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = catalog.fact(spark, name, _catalog(spark), tables=fixtures.CATALOG_TABLES, database="app", receipt_schema="ops", receipt_table="receipt")
+        return df.select(*[F.expr((flat or {}).get(c.strip().strip('"'), f"cast(`{c.strip().strip(chr(34))}` as string)")).alias(c.strip().strip('"')) for c in columns.split(",")])
+
+    run.__name__ = f"catalog_{name}"
+    _query(_literal([tuple(None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r) for r in expected], columns))(run)
+
+
+for _name, (_columns, _expected) in fixtures.CATALOG_EXPECTED.items():
+    _fact_query(_name, _expected, _columns, {"columns": "array_join(columns, ',')", "ref_columns": "array_join(ref_columns, ',')"} if _name != "receipt_columns" else {"columns": "array_join(transform(map_entries(columns), x -> concat(x.key, '=', x.value)), ',')"})
+
+
+@_query(_literal([("orders", "b,a"), ("items", "x")], "relation, columns"))
+def key_columns_in_order(spark, sf_dir):
+    found = catalog.order_of_keys(
+        spark.createDataFrame([("orders", [2, 1]), ("items", [7])], "relation string, key array<int>"),
+        spark.createDataFrame([("orders", 1, "a"), ("orders", 2, "b"), ("orders", 3, "c"), ("items", 7, "x")], "relation string, number int, name string"),
+    )
+    return found.select("relation", F.array_join("columns", ",").alias("columns"))
+
+
+# --- text of schemas ------------------------------------------------------------------------------
+
+
+@_query(_literal(fixtures.EXPRESSIONS, "expression, normal"))
+def normalize_expression(spark, sf_dir):
+    df = spark.createDataFrame([(e,) for e, _ in fixtures.EXPRESSIONS], "expression string")
+    return df.select("expression", expressions.normalize_expression(F.col("expression")).alias("normal"))
+
+
+@_query(_literal(fixtures.TYPES, "declared, loose, strict"))
+def type_class(spark, sf_dir):
+    df = spark.createDataFrame([(d,) for d, _, _ in fixtures.TYPES], "declared string")
+    return df.select("declared", expressions.loose_class(F.col("declared")).alias("loose"), expressions.strict_class(F.col("declared")).alias("strict"))
+
+
+@_query("select p.page_id, unnest(regexp_extract_all(p.url, '([a-z]+)\\.example', 1)) as host from pages p")
+def regexp_extract_all_hosts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(r"([a-z]+)\.example"), F.lit(1))).alias("host"))
+
+
+@_query(_literal(fixtures.DESCRIBED, "said"))
+def describe_refusals(spark, sf_dir):
+    df = spark.createDataFrame(fixtures.TO_DESCRIBE, "code string, t string, c string, o string")
+    return df.select(describe_refusal(F.col("code"), F.col("t"), F.col("c"), F.col("o")).alias("said"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The flagship: what differs between a tampered loose copy of orders and the strict table."""
+    return verify_diff_orders(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)

@@ -1 +1,5 @@
-"""Subpackage."""
+"""Streams. A finished batch comparison needs none; ``codec_watch`` watches arriving rows instead."""
+
+from concordat.streaming.watch import codec_watch
+
+__all__ = ["codec_watch"]

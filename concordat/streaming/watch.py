@@ -1,0 +1,16 @@
+"""Values that no codec carries, counted while rows arrive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from concordat.functions import codecs
+from concordat.manifest import TableSpec
+
+
+def codec_watch(stream: DataFrame, table: TableSpec, side: str) -> DataFrame:
+    """``(column, err, rows)`` of a streaming or batch frame of this table. The state has one row for each
+    column and error class, whatever the stream's length; use it with the update or complete mode."""
+    pairs = F.array(*[F.struct(F.lit(c.name).alias("column"), codecs.error(c, side, F.col(c.name)).alias("err")) for c in table.columns])
+    return stream.select(F.inline(pairs)).filter("err is not null").groupBy("column", "err").agg(F.count("*").alias("rows"))
