@@ -35,7 +35,7 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    table_entries: int = 400_000
+    table_entries: int = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -43,15 +43,6 @@ def _id_table(path: str, entries: int) -> Table:
     return Table(path, entries, lambda ids: np.array(ids, dtype="<u4").tobytes())
 
 
-def _ids(table: Table, text: bytes) -> bytes:
-    runs = text.split()
-    try:
-        return b"".join(map(table.__getitem__, runs))
-    except KeyError:
-        table.learn(runs)
-        return b"".join(map(table.__getitem__, runs))
-
-
 def _tokenise(config: PackConfig):
     schema = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
@@ -62,7 +53,7 @@ def _tokenise(config: PackConfig):
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                ids = [_ids(table, t) + end for t in byte_texts(batch.column(1))]
+                ids = [b"".join(table.of(t.split())) + end for t in byte_texts(batch.column(1))]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

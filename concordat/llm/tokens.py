@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import NamedTuple
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    table_entries: int = 400_000
+    table_entries: int = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,16 +50,15 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def drops_white_space(spec: dict) -> bool:
-    """Whether the pre-tokenizer of a tokenizer file drops all white space before merging."""
-    pre = spec.get("pre_tokenizer") or {}
-    steps = pre.get("pretokenizers", [pre])
-    first = steps[0] if steps else {}
-    if first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
-        return True
-    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    return bool(split) and all(r"\s" not in part or part.startswith(r"[^\s") for part in pattern.split("|"))
+def supported(spec: dict) -> bool:
+    """Whether a tokenizer file is of the family this module compiles: lower-casing, white space
+    dropped, runs of letters and runs of marks as pre-tokens, byte-level merges inside each."""
+    normal = spec.get("normalizer") or {}
+    lower = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
+    alternatives = (steps[0].get("pattern") or {}).get("Regex", "").split("|")
+    return lower and split and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(alternatives) and steps[-1].get("type") == "ByteLevel"
 
 
 @lru_cache(maxsize=4)
@@ -66,31 +67,111 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        if not drops_white_space(json.load(f)):
-            raise ValueError(f"{os.path.basename(path)}: its pre-tokenizer keeps white space, so runs are not independent")
+        if not supported(json.load(f)):
+            raise ValueError(f"{os.path.basename(path)}: only lower-casing tokenizers that drop white space are compiled")
     return Tokenizer.from_file(path)
 
 
-class Table(dict):
-    """Annotations by run of bytes. ``learn`` asks the library about the runs that are not there;
-    a full table starts anew, which costs time and never a result."""
+#: Letters that neither normalisation nor lower-casing changes; runs of them are one pre-token.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: Byte-level merges spell a byte that prints as itself, any other as the next free character.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in _PRINTS} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
 
-    def __init__(self, path: str, most: int, annotate):
+
+def piece_ids(library, pieces: list[bytes]) -> list[list[int]]:
+    """Ids of each piece. Plain words go to the merge model at once, the rest through all of the library."""
+    found: list = [None] * len(pieces)
+    whole = []
+    model = library.model
+    for k, piece in enumerate(pieces):
+        word = piece.decode("utf-8").lower()
+        if LETTERS.fullmatch(word):
+            spelled = word if word.isascii() else "".join(map(SPELLED.__getitem__, word.encode("utf-8")))
+            found[k] = [t.id for t in model.tokenize(spelled)]
+        else:
+            whole.append(k)
+    for k, answer in zip(whole, library.encode_batch_fast([pieces[k].decode("utf-8") for k in whole], add_special_tokens=False)):
+        found[k] = answer.ids
+    return found
+
+
+class Aged(dict):
+    """A table of two generations: what is used moves to the young one, and when that is full the old
+    one goes. Forgetting costs time and never a result."""
+
+    def __init__(self, most: int):
         super().__init__()
-        self.path, self.most, self.annotate = path, most, annotate
+        self.most, self.old = most, {}
 
-    def learn(self, runs: list[bytes]) -> None:
-        new = list({r for r in runs if r not in self})
-        if not new:
-            return
-        if len(self) + len(new) > self.most:
+    def __missing__(self, key: bytes):
+        value = self.old[key]
+        self.put(key, value)
+        return value
+
+    def put(self, key: bytes, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-            new = list(set(runs))
-        library = _library(self.path)
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            for run, found in zip(part, library.encode_batch_fast([r.decode("utf-8") for r in part], add_special_tokens=False)):
-                self[run] = self.annotate(found.ids)
+        self[key] = value
+
+
+#: Marks that end many runs. After a letter they are always a pre-token of their own.
+ENDINGS = b".,;:!?"
+
+
+def parts(run: bytes) -> tuple[bytes, ...]:
+    """A run as pieces that the tokenizer treats alike: lower-cased, marks at the end cut off. Runs that
+    may hold a special token or characters that composition joins, and those that do not end in a
+    letter and marks, stay whole."""
+    if b"<|" in run:
+        return (run,)
+    if not run.isascii():
+        text = run.decode("utf-8")
+        if not (is_normalized("NFC", text) and is_normalized("NFC", text.lower())):
+            return (run,)
+    low = run.lower()  # of bytes: A-Z only
+    core = low.rstrip(ENDINGS)
+    if len(core) == len(low) or not core or not core.decode("utf-8").lower()[-1].isalpha():
+        return (low,)
+    return core, low[len(core) :]
+
+
+class Table(Aged):
+    """Annotations by run of bytes. ``learn`` compiles those of new runs from their pieces, and asks the
+    library about pieces that are new as well. Annotations of pieces add up."""
+
+    def __init__(self, path: str, most: int, annotate):
+        super().__init__(most)
+        self.path, self.annotate = path, annotate
+        self.pieces = Aged(max(1, most * 2 // 3))
+
+    def learn(self, runs: list[bytes]) -> None:
+        old, known, older = self.old, self.pieces, self.pieces.old
+        split = {r: parts(r) for r in set(runs) if r not in self and r not in old}
+        asked = list({p for ps in split.values() for p in ps if p not in known and p not in older})
+        answers = dict(zip(asked, map(self.annotate, piece_ids(_library(self.path), asked))))
+        for run, ps in split.items():
+            values = [answers[p] if p in answers else self.pieces[p] for p in ps]
+            self.put(run, values[0] if len(values) == 1 else values[0] + values[1])
+        for piece, value in answers.items():
+            self.pieces.put(piece, value)
+
+    def of(self, runs: list[bytes]) -> list:
+        """The annotations of the runs, in order."""
+        try:
+            return list(map(self.__getitem__, runs))
+        except KeyError:
+            self.learn(runs)
+        try:
+            return list(map(self.__getitem__, runs))
+        except KeyError:
+            found = []
+        for r in runs:  # one by one, for a text with more runs than the table holds
+            if r not in self and r not in self.old:
+                self.learn([r])
+            found.append(self[r])
+        return found
 
 
 class StateMap(NamedTuple):
@@ -103,15 +184,11 @@ class StateMap(NamedTuple):
 
 
 class Transducer:
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 600_000):
         self.table = Table(path, entries, len)
 
     def emitted(self, runs: list[bytes]) -> int:
-        try:
-            return sum(map(self.table.__getitem__, runs))
-        except KeyError:
-            self.table.learn(runs)
-            return sum(map(self.table.__getitem__, runs))
+        return sum(self.table.of(runs))
 
     def state_map(self, chunk: bytes) -> StateMap:
         runs = chunk.split()
