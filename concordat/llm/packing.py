@@ -15,6 +15,7 @@ an empty table has no piece. Sequences are padded to the window, unless their fi
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ class PackConfig:
 
 @lru_cache(maxsize=2)
 def _id_table(path: str, entries: int) -> Table:
-    return Table(path, entries, lambda ids: np.array(ids, dtype="<u4").tobytes())
+    return Table(path, entries, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 def _tokenise(config: PackConfig):
@@ -53,7 +54,7 @@ def _tokenise(config: PackConfig):
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                ids = [b"".join(table.of(t.split())) + end for t in byte_texts(batch.column(1))]
+                ids = [b"".join(found) + end for found in table.each(byte_texts(batch.column(1)))]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import free_name, let
+from concordat.llm.common import let
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -103,10 +103,7 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
 
 
-def _judged(df: DataFrame, text: Column, out: str, config: QualityConfig) -> DataFrame:
-    """Add one struct column ``out`` with all measures, ratios and verdicts of a row."""
-    text = F.coalesce(text, F.lit(""))
-
+def _measured(text: Column):
     def row(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -119,38 +116,49 @@ def _judged(df: DataFrame, text: Column, out: str, config: QualityConfig) -> Dat
             F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_capitals"),
         )
 
-    base = free_name(df, "__base")
-    x = F.col(base)
-    metrics = {
-        "mean_word_chars": x["word_chars"] / F.greatest(x["n_words"], F.lit(1)),
-        "symbol_ratio": x["n_symbols"] / F.greatest(x["word_chars"], F.lit(1)),
-        "stop_ratio": x["n_stop"] / F.greatest(x["n_words"], F.lit(1)),
-        "capital_ratio": x["n_capitals"] / F.greatest(x["word_chars"], F.lit(1)),
-        "stutter_ratio": x["n_stutter"] / F.greatest(x["n_words"], F.lit(1)),
-        "dup_line_ratio": x["lines"]["n_dup_lines"] / F.greatest(x["lines"]["n_lines"], F.lit(1)),
-    }
-    failed = (x["n_words"] < config.min_words) | (100 * x["n_repeat_words"] > config.max_repeat_percent * x["n_words"])
-    broken = F.array_compact(F.array(*[F.when((metrics[r.metric] < r.bound) if r.relation == "min" else (metrics[r.metric] > r.bound), F.lit(r.name)) for r in config.rules]))
-    fields = [x["n_words"], x["word_chars"], x["n_symbols"], x["lines"]["n_dup_lines"].cast("long").alias("n_dup_lines"), x["n_repeat_words"]]
-    verdict = F.struct(
-        *fields,
-        failed.alias("base_failed"),
-        (~failed & (F.size(broken) == 0)).alias("kept"),
-        *[v.alias(k) for k, v in metrics.items()],
-        F.array_join(broken, ",").alias("broken_rules"),
-    )
-    return df.withColumn(base, let(_split_words(text), row)).withColumn(out, verdict).drop(base)
+    return row
+
+
+def _verdict(config: QualityConfig):
+    def row(x: Column) -> Column:
+        metrics = {
+            "mean_word_chars": x["word_chars"] / F.greatest(x["n_words"], F.lit(1)),
+            "symbol_ratio": x["n_symbols"] / F.greatest(x["word_chars"], F.lit(1)),
+            "stop_ratio": x["n_stop"] / F.greatest(x["n_words"], F.lit(1)),
+            "capital_ratio": x["n_capitals"] / F.greatest(x["word_chars"], F.lit(1)),
+            "stutter_ratio": x["n_stutter"] / F.greatest(x["n_words"], F.lit(1)),
+            "dup_line_ratio": x["lines"]["n_dup_lines"] / F.greatest(x["lines"]["n_lines"], F.lit(1)),
+        }
+        failed = (x["n_words"] < config.min_words) | (100 * x["n_repeat_words"] > config.max_repeat_percent * x["n_words"])
+        broken = [F.when((metrics[r.metric] < r.bound) if r.relation == "min" else (metrics[r.metric] > r.bound), F.lit(r.name)) for r in config.rules]
+        return F.struct(
+            x["n_words"],
+            x["word_chars"],
+            x["n_symbols"],
+            x["lines"]["n_dup_lines"].cast("long").alias("n_dup_lines"),
+            x["n_repeat_words"],
+            failed.alias("base_failed"),
+            (~failed & (F.size(F.array_compact(F.array(*broken))) == 0)).alias("kept"),
+            *[v.alias(k) for k, v in metrics.items()],
+            F.array_join(F.array_compact(F.array(*broken)), ",").alias("broken_rules"),
+        )
+
+    return row
+
+
+def judgement(text: Column, config: QualityConfig = QualityConfig()) -> Column:
+    """All measures, ratios and verdicts of a text as one struct. It is one expression in which every
+    part stands once, so a filter on it computes nothing twice."""
+    text = F.coalesce(text, F.lit(""))
+    return let(let(_split_words(text), _measured(text)), _verdict(config))
 
 
 def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per input row: the id, the base measures, both verdicts, the ratios of the method
     and the names of the rules that the text breaks."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return _judged(slim, F.col("t"), "q", config).select(F.col("id").alias(id_col), "q.*")
+    return docs.select(F.col(id_col).alias("id"), judgement(F.col(text_col), config).alias("q")).select(F.col("id").alias(id_col), "q.*")
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows that are kept, with the input's own columns."""
-    name = free_name(docs, "__quality")
-    judged = _judged(docs, F.col(text_col), name, config)
-    return judged.filter(F.col(name)["kept"]).drop(name)
+    return docs.filter(let(judgement(F.col(text_col), config), lambda q: q["kept"]))

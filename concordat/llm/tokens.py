@@ -85,6 +85,9 @@ def piece_ids(library, pieces: list[bytes]) -> list[list[int]]:
     whole = []
     model = library.model
     for k, piece in enumerate(pieces):
+        if piece.isalpha() and piece.islower():
+            found[k] = [t.id for t in model.tokenize(piece.decode("ascii"))]
+            continue
         word = piece.decode("utf-8").lower()
         if LETTERS.fullmatch(word):
             spelled = word if word.isascii() else "".join(map(SPELLED.__getitem__, word.encode("utf-8")))
@@ -105,17 +108,22 @@ class Aged(dict):
         self.most, self.old = most, {}
 
     def __missing__(self, key: bytes):
-        value = self.old[key]
-        self.put(key, value)
-        return value
+        return self.old[key]
 
-    def put(self, key: bytes, value) -> None:
+    def lacks(self, keys: set[bytes]) -> list[bytes]:
+        """The keys in neither generation; those in the old one move to the young one. Generations
+        change here only, so after ``lacks`` and an update all the keys can be read."""
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = value
+        old = self.old
+        absent = [k for k in keys if k not in self]
+        self.update({k: old[k] for k in absent if k in old})
+        return [k for k in absent if k not in old]
 
 
+#: Bytes of text whose runs are learnt together.
+GROUP_BYTES = 1 << 20
 #: Marks that end many runs. After a letter they are always a pre-token of their own.
 ENDINGS = b".,;:!?"
 
@@ -146,32 +154,46 @@ class Table(Aged):
         self.path, self.annotate = path, annotate
         self.pieces = Aged(max(1, most * 2 // 3))
 
-    def learn(self, runs: list[bytes]) -> None:
-        old, known, older = self.old, self.pieces, self.pieces.old
-        split = {r: parts(r) for r in set(runs) if r not in self and r not in old}
-        asked = list({p for ps in split.values() for p in ps if p not in known and p not in older})
-        answers = dict(zip(asked, map(self.annotate, piece_ids(_library(self.path), asked))))
-        for run, ps in split.items():
-            values = [answers[p] if p in answers else self.pieces[p] for p in ps]
-            self.put(run, values[0] if len(values) == 1 else values[0] + values[1])
-        for piece, value in answers.items():
-            self.pieces.put(piece, value)
+    def learn(self, runs: set[bytes]) -> None:
+        split = {}
+        for run in self.lacks(runs):
+            low = run.lower()
+            if low.isalpha():  # of bytes: a-z only
+                split[run] = (low,)
+            elif low[:-1].isalpha() and low[-1] in ENDINGS:
+                split[run] = (low[:-1], low[-1:])
+            else:
+                split[run] = parts(run)
+        asked = self.pieces.lacks({p for ps in split.values() for p in ps})
+        answers = zip(asked, map(self.annotate, piece_ids(_library(self.path), asked)))
+        known = self.pieces
+        known.update(answers)
+        self.update({run: known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for run, ps in split.items()})
 
     def of(self, runs: list[bytes]) -> list:
         """The annotations of the runs, in order."""
         try:
             return list(map(self.__getitem__, runs))
         except KeyError:
-            self.learn(runs)
-        try:
+            self.learn(set(runs))
             return list(map(self.__getitem__, runs))
-        except KeyError:
-            found = []
-        for r in runs:  # one by one, for a text with more runs than the table holds
-            if r not in self and r not in self.old:
-                self.learn([r])
-            found.append(self[r])
-        return found
+
+    def each(self, texts: list[bytes]) -> Iterator[list]:
+        """The annotations of every text's runs. New runs of a group of texts are learnt together."""
+        group: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            group.append(text.split())
+            size += len(text)
+            if size > GROUP_BYTES:
+                yield from self._each(group)
+                group, size = [], 0
+        yield from self._each(group)
+
+    def _each(self, group: list[list[bytes]]) -> Iterator[list]:
+        self.learn(set().union(*group))
+        for runs in group:
+            yield self.of(runs)
 
 
 class StateMap(NamedTuple):
@@ -219,9 +241,12 @@ class Transducer:
         ends = [x for x in (total.head, total.tail) if x]
         return (total.count or 0) + (self.emitted(ends) if ends else 0)
 
+    def counts(self, texts: list[bytes], chunk_bytes: int = 1 << 16) -> list[int]:
+        """Token counts of texts; short ones are a single chunk each, long ones are scanned."""
+        short = iter([sum(found) for found in self.table.each([t for t in texts if len(t) <= chunk_bytes])])
+        return [next(short) if len(t) <= chunk_bytes else self.count(t, chunk_bytes) for t in texts]
+
     def count(self, text: bytes, chunk_bytes: int = 1 << 16) -> int:
-        if len(text) <= chunk_bytes:
-            return self.emitted(text.split())
         return self.finish(self.scan([self.state_map(text[k : k + chunk_bytes]) for k in range(0, len(text), chunk_bytes)]))
 
 
@@ -246,7 +271,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = byte_texts(batch.column(1))
-                counts = [machine.count(t, config.chunk_bytes) for t in texts]
+                counts = machine.counts(texts, config.chunk_bytes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > config.limit for n in counts], pa.bool_())], schema=schema)
 
     slim = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
