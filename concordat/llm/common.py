@@ -17,6 +17,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+FILTER_SEED = 90_107
+
+
+def maybe_in(ids: DataFrame, column: Column, bits: int = 1 << 26) -> Column:
+    """A test that is true for every id of the frame ``ids (id)`` and for few others: a bitmap of fixed
+    size, 8 MB by default, over hashes of the ids. It only spares rows a shuffle; whoever uses it
+    joins the rest exactly, so an overfull bitmap costs time and nothing else."""
+
+    def place(c: Column) -> Column:  # Spark's bitmaps count from 1
+        return F.pmod(F.xxhash64(F.lit(FILTER_SEED), c), F.lit(bits)) + 1
+
+    parts = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    held = np.zeros(-(-bits // 32768) * 4096, dtype=np.uint8)
+    for bucket, bitmap in parts.collect():  # at most bits / 32768 rows
+        held[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bitmap), dtype=np.uint8)
+
+    @F.arrow_udf("boolean")
+    def test(places: pa.Array) -> pa.Array:
+        bit = places.to_numpy(zero_copy_only=False) - 1
+        return pa.array((held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1, pa.bool_())
+
+    return test(place(column))
+
+
 # --- hashing of words, for the operators that run in Python workers -------------------------
 
 

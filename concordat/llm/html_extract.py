@@ -102,7 +102,9 @@ class PageReader(HTMLParser):
         marks = {WORD_ODDS[w] for w in attribute_words(attrs) if w in WORD_ODDS}
         if tag in ("html", "body"):
             marks = set()
-        return odds + (min(marks) if marks and min(marks) < 0 else sum(marks))
+        if marks and min(marks) < 0:  # boilerplate stays so inside an article
+            return min(odds, 0.0) + min(marks)
+        return odds + sum(marks)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, free_name, mix64, shingle_hashes, word_hashes
+from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, word_hashes
 
 BITS = 128
 COORDS = 24
@@ -56,6 +56,7 @@ class JoinConfig:
     alike: float = 0.6
     block_sets: int = 1024
     block_shingles: int = 1 << 21
+    filter_bits: int = 1 << 26
     seed: int = 20_240_917
 
     @property
@@ -372,7 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flagged = scratch.write(sketched.mapInArrow(_flag(config), "leaf long, one int, two int, block int, cls binary"), "flagged")
 
     wanted = facts.join(flagged.select("cls").distinct(), "cls", "left_semi")
-    texts = slim.filter("id is not null").join(wanted.select("cls", F.col("rep").alias("id"), "size", "bits", "leaves"), "id").drop("id")
+    near = maybe_in(wanted.select(F.col("rep").alias("id")), F.col("id"), config.filter_bits)
+    texts = slim.filter(F.col("id").isNotNull() & near).join(wanted.select("cls", F.col("rep").alias("id"), "size", "bits", "leaves"), "id").drop("id")
     exact = flagged.join(texts, "cls").repartition(*key).sortWithinPartitions(*key)
     links = scratch.write(exact.mapInArrow(_verify(config), "cls binary, root binary, deg long"), "links")
 
@@ -396,12 +398,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: JoinConfig = JoinConfig()) -> DataFrame:
     """The documents whose id is their class's smallest, with the input's own columns. Of rows that
-    repeat an id one stays; rows with a null id all stay."""
+    repeat an id one stays; rows with a null id all stay. Only rows that may have to go are shuffled."""
     scratch = Scratch(docs.sparkSession, "ngram-keep")
-    classes = near_duplicates(docs, id_col, text_col, config)
-    stays = scratch.write(classes.filter(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("stay")).agg(F.count("*").alias("times")), "stays")
-    name = free_name(docs, "__stay")
-    kept = docs.join(stays.select(F.col("stay").alias(name)), F.col(id_col) == F.col(name), "left_semi")
-    if not stays.filter("times > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    own = F.col(id_col) == F.col("class_id")
+    judged = near_duplicates(docs, id_col, text_col, config).filter(F.col(id_col).isNotNull())
+    ids = scratch.write(judged.groupBy(F.col(id_col).alias("id")).agg(F.bool_or(own).alias("stays"), F.count("*").alias("times")), "ids")
+    name = free_name(docs, "__gone")
+    gone = ids.filter("not stays").select("id")
+    doubtful = F.col(id_col).isNotNull() & maybe_in(gone, F.col(id_col), config.filter_bits)
+    kept = docs.filter(doubtful).join(gone.withColumnRenamed("id", name), F.col(id_col) == F.col(name), "left_anti").unionByName(docs.filter(~doubtful))
+    if not ids.filter("stays and times > 1").isEmpty():
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept

@@ -36,7 +36,7 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    table_entries: int = 600_000
+    table_entries: int = 500_000
 
 
 @lru_cache(maxsize=2)

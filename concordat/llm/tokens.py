@@ -38,7 +38,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    table_entries: int = 600_000
+    table_entries: int = 500_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -206,7 +206,7 @@ class StateMap(NamedTuple):
 
 
 class Transducer:
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 500_000):
         self.table = Table(path, entries, len)
 
     def emitted(self, runs: list[bytes]) -> int:
