@@ -42,7 +42,8 @@ def _second_replica(pages: DataFrame) -> DataFrame:
 
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fixity.audit(pages, _second_replica(pages)).withColumnRenamed("id", "page_id")
+    found = fixity.audit(pages, _second_replica(pages))
+    return found.withColumnRenamed("id", "page_id").withColumn("version", F.col("version").cast("long"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
