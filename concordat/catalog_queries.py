@@ -408,7 +408,7 @@ def gate_refusals(spark, sf_dir):
     """Every rule of the gate, in order, over a catalog with one fault of each kind."""
     facts = {n: gate.frame(spark, n, rows) for n, rows in fixtures.GATE_FACTS.items()}
     found = gate.evaluate(spark, facts, fixtures.GATE_MANIFEST, truncate=True)
-    return keys.binary_order(found, F.col("ord"), "place").select((F.col("place") - 1).alias("place"), "code", "table", "column", "object")
+    return keys.numbered(found, F.col("ord"), "place").select((F.col("place") - 1).alias("place"), "code", "table", "column", "object")
 
 
 @_query(_literal([("items", "skipped_log")], '"table", object').replace("select *", "select 'foreign-key-to-skipped-table' as code, \"table\", object") + " union all select 'foreign-key-to-skipped-table', 'parent', 'log_parent'")

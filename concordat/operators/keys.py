@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.errors import Refusal
 from concordat.functions import cells
 from concordat.manifest import Manifest
+from concordat.sources.scratch import Scratch
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -79,8 +80,17 @@ def missing_and_extra(have: DataFrame, want: DataFrame) -> tuple[DataFrame, Data
     return want.subtract(have), have.subtract(want)
 
 
-def binary_order(df: DataFrame, key: Column, name: str = "position") -> DataFrame:
-    """Places in byte order of the key, from 1. For reports over bounded tables."""
-    from pyspark.sql import Window
-
+def numbered(df: DataFrame, key: Column, name: str = "position") -> DataFrame:
+    """Places in key order, from 1, by one window. For refusals and reports, which are few rows."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("long"))
+
+
+def binary_order(df: DataFrame, key: Column, name: str = "position") -> DataFrame:
+    """Places in byte order of the key, from 1, for tables of any size: rows are sorted by ranges and
+    written, and each range starts where the ones before it end. Only the ranges' sizes are gathered."""
+    sorted_rows = df.orderBy(key).withColumn("__at", F.monotonically_increasing_id())
+    rows = Scratch(df.sparkSession, "ordered").write(sorted_rows, "rows")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
+    return rows.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + inside + 1).drop("__at", "__part", "__start")
