@@ -11,62 +11,20 @@ Conventions used by every operator of this package:
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-_OWN_ROOT: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        if spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="corpus-scratch-"))
-    return _OWN_ROOT[0]
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table; a folder that has gone already is no error."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Written tables of one operator call. They last as long as the session, because the
-    returned DataFrame is lazy; ``drop`` frees those that only a finished step needed."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(drop_table, spark, self.root)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        drop_table(self.spark, self.path(name))
+from concordat.functions.expressions import let
+from concordat.sources.scratch import Scratch
 
+__all__ = ["Scratch", "free_name", "let", "maybe_in", "mix64", "shingle_hashes", "tidy", "word_hashes"]
 
+MASK = (1 << 64) - 1
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have, compared without regard to case."""
     taken = {c.lower() for c in df.columns}
@@ -76,11 +34,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 FILTER_SEED = 90_107
 
 
@@ -105,6 +58,21 @@ def maybe_in(ids: DataFrame, column: Column, bits: int = 1 << 26) -> Column:
     return test(place(column))
 
 
+def tidy(run):
+    """A partition function that hands freed memory back to the system when its partition ends. Workers
+    are kept for later tasks, and what an allocator holds on to would count against those."""
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 # --- hashing of words, for the operators that run in Python workers -------------------------
 
 

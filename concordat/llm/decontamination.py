@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.common import tidy
+
 
 @dataclass(frozen=True)
 class MatchConfig:
@@ -163,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     found = docs.sparkSession.createDataFrame([], out)
     for items in blocks(benchmark, config, item_col, item_text_col):
-        found = found.union(slim.mapInArrow(over(items), out))
+        found = found.union(slim.mapInArrow(tidy(over(items)), out))
     return found
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never prose of the page.
 SILENT = frozenset("script style head title noscript template svg math iframe object select option optgroup button textarea datalist canvas audio video map form fieldset nav footer aside dialog menu".split())
@@ -283,5 +285,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], schema=schema)
 
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    out = slim.mapInArrow(run, "id long, url string, text string, n_chars long, n_blocks long, n_content long")
+    out = slim.mapInArrow(tidy(run), "id long, url string, text string, n_chars long, n_blocks long, n_content long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, word_hashes
+from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, tidy, word_hashes
 
 BITS = 128
 COORDS = 24
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's set) and ``n_copies`` (rows with the same set, this one included)."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.write(slim.mapInArrow(_embed(config), "id long, cls binary, size int, pay binary"), "rows")
+    rows = scratch.write(slim.mapInArrow(tidy(_embed(config)), "id long, cls binary, size int, pay binary"), "rows")
     classes = scratch.write(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.max("pay").alias("pay")), "classes")
     leaves = _leaves(classes, config, scratch)
 
@@ -370,13 +370,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = spread.select("cls", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block")
     key = ["leaf", "one", "two"]
     sketched = units.join(facts.select("cls", "size", "bits", "leaves"), "cls").repartition(*key).sortWithinPartitions(*key)
-    flagged = scratch.write(sketched.mapInArrow(_flag(config), "leaf long, one int, two int, block int, cls binary"), "flagged")
+    flagged = scratch.write(sketched.mapInArrow(tidy(_flag(config)), "leaf long, one int, two int, block int, cls binary"), "flagged")
 
     wanted = facts.join(flagged.select("cls").distinct(), "cls", "left_semi")
     near = maybe_in(wanted.select(F.col("rep").alias("id")), F.col("id"), config.filter_bits)
     texts = slim.filter(F.col("id").isNotNull() & near).join(wanted.select("cls", F.col("rep").alias("id"), "size", "bits", "leaves"), "id").drop("id")
     exact = flagged.join(texts, "cls").repartition(*key).sortWithinPartitions(*key)
-    links = scratch.write(exact.mapInArrow(_verify(config), "cls binary, root binary, deg long"), "links")
+    links = scratch.write(exact.mapInArrow(tidy(_verify(config)), "cls binary, root binary, deg long"), "links")
 
     components = connected(links.select("cls", "root"), scratch)
     named = components.join(classes.select("cls", "rep"), "cls")

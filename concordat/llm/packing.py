@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch
+from concordat.llm.common import Scratch, tidy
 from concordat.llm.tokens import Table, byte_texts, tokenizer_path
 
 
@@ -36,7 +36,7 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    table_entries: int = 500_000
+    table_entries: int = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -90,13 +90,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config
     ``offset``, and the ids as little-endian 32-bit numbers if asked for."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = Scratch(spark, "packing").write(slim.mapInArrow(_tokenise(config), "id long, part int, local long, n long, ids binary"), "ids")
+    rows = Scratch(spark, "packing").write(slim.mapInArrow(tidy(_tokenise(config)), "id long, part int, local long, n long, ids binary"), "ids")
     base, total = {}, 0
     for part, n in sorted(rows.groupBy("part").agg(F.sum("n")).collect()):
         base[part] = total
         total += n
     out = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return rows.mapInArrow(_cut(config, base, with_ids), out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_cut(config, base, with_ids)), out).withColumnRenamed("id", id_col)
 
 
 def sequences(pieces: DataFrame, config: PackConfig = PackConfig(), pad_id: int = 0) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, free_name, mix64, word_hashes
+from concordat.llm.common import Scratch, free_name, mix64, tidy, word_hashes
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ResamplingConfig, id_col: st
     good = F.broadcast(known.filter("q = 1").select("id", F.lit(True).alias("good")))
     marked = slim.join(good, "id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
     raw, target = np.zeros((2, 1 << config.bucket_bits))
-    for is_good, bucket, n in marked.mapInArrow(_counter(config), "good boolean, bucket int, n long").groupBy("good", "bucket").agg(F.sum("n")).collect():
+    for is_good, bucket, n in marked.mapInArrow(tidy(_counter(config)), "good boolean, bucket int, n long").groupBy("good", "bucket").agg(F.sum("n")).collect():
         raw[bucket] += n
         if is_good:
             target[bucket] += n
@@ -126,7 +126,7 @@ def _scored(docs: DataFrame, model: Model, config: ResamplingConfig, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight), pa.array(key), pa.array(ordered_bits(key))], schema=schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, n_features long, log_weight double, gumbel_key double, bits long")
+    return slim.mapInArrow(tidy(run), "id long, n_features long, log_weight double, gumbel_key double, bits long")
 
 
 def kth_largest(rows: DataFrame, column: str, share: float) -> int | None:

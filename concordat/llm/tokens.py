@@ -29,6 +29,8 @@ from unicodedata import is_normalized
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from concordat.llm.common import tidy
+
 #: Bytes at which ``bytes.split`` cuts; every one is white space for the tokenizers below as well.
 WHITE = b" \t\n\r\x0b\x0c"
 
@@ -38,7 +40,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    table_entries: int = 500_000
+    table_entries: int = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,10 +68,11 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        if not supported(json.load(f)):
-            raise ValueError(f"{os.path.basename(path)}: only lower-casing tokenizers that drop white space are compiled")
-    return Tokenizer.from_file(path)
+    library = Tokenizer.from_file(path)
+    spec = {k: json.loads(part.__getstate__()) if part else None for k, part in (("normalizer", library.normalizer), ("pre_tokenizer", library.pre_tokenizer))}
+    if not supported(spec):
+        raise ValueError(f"{os.path.basename(path)}: only lower-casing tokenizers that drop white space are compiled")
+    return library
 
 
 #: Letters that neither normalisation nor lower-casing changes; runs of them are one pre-token.
@@ -128,6 +131,18 @@ GROUP_BYTES = 1 << 20
 ENDINGS = b".,;:!?"
 
 
+#: Such a mark between letters, digits and white space of ASCII is a pre-token of its own as well.
+LONE_MARK = re.compile(rb"(?<![^a-z0-9\s])[.,;:!?](?![^a-z0-9\s])")
+
+
+def runs_of(text: bytes) -> list[bytes]:
+    """The runs of a text, with capitals and lone marks out of the way where that changes no token: not in
+    texts that may hold a special token or a mark that composes with the letter before it."""
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    return LONE_MARK.sub(rb" \g<0> ", text.lower()).split()
+
+
 def parts(run: bytes) -> tuple[bytes, ...]:
     """A run as pieces that the tokenizer treats alike: lower-cased, marks at the end cut off. Runs that
     may hold a special token or characters that composition joins, and those that do not end in a
@@ -146,29 +161,23 @@ def parts(run: bytes) -> tuple[bytes, ...]:
 
 
 class Table(Aged):
-    """Annotations by run of bytes. ``learn`` compiles those of new runs from their pieces, and asks the
-    library about pieces that are new as well. Annotations of pieces add up."""
+    """Annotations by run of bytes. ``learn`` compiles those of new runs: words of plain letters at once,
+    others from their parts, whose annotations add up."""
 
     def __init__(self, path: str, most: int, annotate):
         super().__init__(most)
         self.path, self.annotate = path, annotate
-        self.pieces = Aged(max(1, most * 2 // 3))
 
     def learn(self, runs: set[bytes]) -> None:
-        split = {}
-        for run in self.lacks(runs):
-            low = run.lower()
-            if low.isalpha():  # of bytes: a-z only
-                split[run] = (low,)
-            elif low[:-1].isalpha() and low[-1] in ENDINGS:
-                split[run] = (low[:-1], low[-1:])
-            else:
-                split[run] = parts(run)
-        asked = self.pieces.lacks({p for ps in split.values() for p in ps})
-        answers = zip(asked, map(self.annotate, piece_ids(_library(self.path), asked)))
-        known = self.pieces
-        known.update(answers)
-        self.update({run: known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for run, ps in split.items()})
+        new = self.lacks(runs)
+        if not new:
+            return
+        plain = [r for r in new if r.isalpha() and r.islower()]  # of bytes: a-z only
+        split = {r: parts(r) for r in set(new).difference(plain)} if len(plain) < len(new) else {}
+        wanted = {p for ps in split.values() for p in ps}.difference(plain)
+        asked = plain + self.lacks(wanted)
+        self.update(zip(asked, map(self.annotate, piece_ids(_library(self.path), asked))))
+        self.update({r: self[ps[0]] if len(ps) == 1 else self[ps[0]] + self[ps[1]] for r, ps in split.items()})
 
     def of(self, runs: list[bytes]) -> list:
         """The annotations of the runs, in order."""
@@ -183,7 +192,7 @@ class Table(Aged):
         group: list[list[bytes]] = []
         size = 0
         for text in texts:
-            group.append(text.split())
+            group.append(runs_of(text))
             size += len(text)
             if size > GROUP_BYTES:
                 yield from self._each(group)
@@ -206,7 +215,7 @@ class StateMap(NamedTuple):
 
 
 class Transducer:
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 200_000):
         self.table = Table(path, entries, len)
 
     def emitted(self, runs: list[bytes]) -> int:
@@ -275,4 +284,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > config.limit for n in counts], pa.bool_())], schema=schema)
 
     slim = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
-    return slim.mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(tidy(run), "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
