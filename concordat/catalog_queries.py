@@ -13,7 +13,7 @@ from concordat.errors import describe_refusal
 from concordat.functions import cells, codecs, expressions
 from concordat.functions.encoding import bucketed_digest, load_line, row_digest, table_digest
 from concordat.manifest import ColumnSpec, parse_manifest
-from concordat.operators import catalog, gate, keys, profile, reconcile, schema_diff, sequences, topology, validation
+from concordat.operators import catalog, constraints, gate, keys, profile, reconcile, schema_diff, sequences, topology, validation
 from concordat.plans.export import ledger_difference
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,9 +423,7 @@ def manifest_validate(spark, sf_dir):
 
 
 def _model(spark: SparkSession) -> DataFrame:
-    df = schema_diff.model_frame(spark, fixtures.SCHEMA_MODEL)
-    kind = F.when(F.col("side") == "sqlite", expressions.loose_class(F.col("raw"))).otherwise(expressions.strict_class(F.col("raw")))
-    return df.withColumn("class", F.when(F.col("kind") == "column", kind))
+    return schema_diff.with_classes(schema_diff.model_frame(spark, fixtures.SCHEMA_MODEL))
 
 
 @_query(_literal(fixtures.SCHEMA_DIFFERENCES, 'kind, "table", name, sqlite, postgres'))
@@ -465,6 +463,14 @@ for _name, (_columns, _expected) in fixtures.CATALOG_EXPECTED.items():
     _fact_query(_name, _expected, _columns, {"columns": "array_join(columns, ',')", "ref_columns": "array_join(ref_columns, ',')"} if _name != "receipt_columns" else {"columns": "array_join(transform(map_entries(columns), x -> concat(x.key, '=', x.value)), ',')"})
 
 
+@_query(_literal([("items", "items_orders_fk"), ("items", "extra_fk")], '"table", name'))
+def foreign_keys_restored(spark, sf_dir):
+    """Keys read again after a load, one of them changed and one new."""
+    before = catalog.fact(spark, "foreign_keys", _catalog(spark), tables=fixtures.CATALOG_TABLES)
+    changed = before.withColumn("confdeltype", F.when(F.col("name") == "items_orders_fk", "n").otherwise(F.col("confdeltype")))
+    return constraints.changed_foreign_keys(before, changed.unionByName(before.filter("name = 'items_orders_fk'").withColumn("name", F.lit("extra_fk"))))
+
+
 @_query(_literal([("orders", "b,a"), ("items", "x")], "relation, columns"))
 def key_columns_in_order(spark, sf_dir):
     found = catalog.order_of_keys(

@@ -7,6 +7,9 @@ class, NOT NULL and default as a map), ``primary-key``, ``unique``, ``index`` an
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concordat.functions.expressions import balanced, index_signature, loose_class, normalized, strict_class, unwrapped
 
 MODEL = "side string, table string, kind string, name string, signature string, raw string, class string, not_null boolean, has_default boolean"
 
@@ -61,3 +64,38 @@ def without_allowed(found: DataFrame, rules: DataFrame) -> DataFrame:
         fits = r[f"rule_{c}"].isNull() | (r[f"rule_{c}"] == found[c])
         on = fits if on is None else on & fits
     return found.join(r, on, "left_anti")
+
+
+def strict_model(columns: list[tuple], keys: list[tuple], indexes: list[tuple], checks: list[tuple]) -> list[tuple]:
+    """Model rows of the strict side from catalog rows: columns ``(table, name, type, not_null, has_default)``,
+    keys ``(table, [column])``, indexes ``(table, name, definition, unique)``, checks ``(table, definition)``."""
+    tables = dict.fromkeys([c[0] for c in columns] + [k[0] for k in keys])
+    out = [("postgres", t, "table", t, t, None, None, None, None) for t in tables]
+    out += [("postgres", t, "column", n, n, kind, None, not_null, default) for t, n, kind, not_null, default in columns]
+    out += [("postgres", t, "primary-key", t, ",".join(names), None, None, None, None) for t, names in keys]
+    for t, name, definition, unique in indexes:
+        if found := index_signature(definition, unique):
+            out.append(("postgres", t, found[0], name, found[1], None, None, None, None))
+    for t, definition in checks:
+        inside = balanced(definition)
+        text = unwrapped(inside[0] if inside else definition)
+        out.append(("postgres", t, "check", text, normalized(text), None, None, None, None))
+    return out
+
+
+def with_classes(model: DataFrame) -> DataFrame:
+    """The model with the class of every column's type."""
+    kind = F.when(F.col("side") == "sqlite", loose_class(F.col("raw"))).otherwise(strict_class(F.col("raw")))
+    return model.withColumn("class", F.when(F.col("kind") == "column", kind))
+
+
+def compare(spark: SparkSession, rows: list[tuple], allow: list[tuple] = ()) -> tuple[list, str]:
+    """Differences that no rule allows, and a report."""
+    found = schema_differences(spark, with_classes(model_frame(spark, rows)))
+    rules = spark.createDataFrame(list(allow), "kind string, table string, name string")
+    left = without_allowed(found, rules).orderBy("table", "kind", "name").collect()
+    allowed = found.count() - len(left)
+    if not left:
+        return left, f"schemas match ({allowed} allowed difference{'s' * (allowed != 1)})"
+    lines = [f"  [{d['kind']}] {d['table']}{'.' + d['name'] if d['name'] else ''}: {d['sqlite'] or '-'} / {d['postgres'] or '-'}" for d in left]
+    return left, "\n".join([f"schemas differ: {len(left)} difference{'s' * (len(left) != 1)}", *lines])

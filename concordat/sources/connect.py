@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concordat.errors import Refusal, Refused, ToolkitError
 from concordat.sources import sqlite
-from concordat.sources.urls import PostgresConfig, SqliteConfig, parse_database_url
+from concordat.sources.urls import PostgresConfig, SqliteConfig, parse_database_url, runtime_database_url
 
 
 @dataclass(frozen=True)
@@ -42,10 +42,9 @@ def open_store(spark: SparkSession, url: str) -> Store:
     return Store(spark, parse_database_url(url))
 
 
-def open_store_from_environment(spark: SparkSession, env: Mapping[str, str]) -> Store:
-    if not env.get("DATABASE_URL"):
-        raise ToolkitError("MISSING_DATABASE_URL", "DATABASE_URL is not set")
-    return open_store(spark, env["DATABASE_URL"])
+def open_store_from_environment(spark: SparkSession, env: Mapping[str, str], purpose: str = "runtime", pooling: str = "required") -> Store:
+    """The store of a runtime process: through its pool by default, which direct work has to decline."""
+    return open_store(spark, runtime_database_url(env, purpose, pooling))
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:

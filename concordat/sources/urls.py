@@ -8,9 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from urllib.parse import parse_qsl, quote, unquote_to_bytes, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, unquote, unquote_to_bytes, urlencode, urlsplit, urlunsplit
 
-from concordat.errors import ToolkitError
+from concordat.errors import Refusal, Refused, ToolkitError
 
 SSL_MODES = ("disable", "require", "verify-ca", "verify-full")
 #: Query keys that belong to drivers and say nothing about the database.
@@ -171,3 +171,51 @@ def runtime_database_url(env: Mapping[str, str], purpose: str = "runtime", pooli
     if (through.database, through.user, through.password, schema(pooled)) != (upstream.database, upstream.user, upstream.password, schema(direct)):
         raise ToolkitError("INVALID_OPTIONS", "Pooled connection must preserve the direct database, credentials and schema")
     return pooled
+
+
+def export_source_url(raw: str) -> str:
+    """An application's URL as the parser takes it: keys of ORM clients and ``schema=public`` dropped. Another
+    schema is refused; a URL with nothing to drop stays as it is."""
+    parts = urlsplit(raw)
+    if parts.scheme not in ("postgres", "postgresql"):
+        return raw
+    pairs = parse_qsl(parts.query, keep_blank_values=True)
+    schema = dict(pairs).get("schema")
+    if schema not in (None, "public"):
+        raise Refused(Refusal("source-url-invalid"), "source-url-invalid: only the public schema is exported")
+    kept = [(k, v) for k, v in pairs if k not in DRIVER_KEYS]
+    return raw if kept == pairs else urlunsplit(parts._replace(query=urlencode(kept)))
+
+
+def scrubbed(text: str, url: str | None = None, secrets: tuple[str, ...] = ()) -> str:
+    """A message without the URL, its password in either spelling, further secrets, and any userinfo."""
+    hidden = [url, *secrets]
+    if url:
+        password = urlsplit(url).password or ""
+        hidden += [unquote(password), password]
+    for secret in hidden:
+        if secret:
+            text = text.replace(secret, "[redacted]")
+    return re.sub(r"([a-z][a-z0-9+.-]*://)[^\s/@]*@", r"\1[redacted]@", text, flags=re.I)
+
+
+def read_env_file(path: str) -> dict[str, str]:
+    """``NAME=value`` lines; quotes around a value are dropped, comments and blank lines skipped. The process's
+    own environment is not touched."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    except (OSError, UnicodeDecodeError):
+        raise Refused(Refusal("source-url-missing"), "source-url-missing: the env file cannot be read") from None
+    out = {}
+    for line in lines:
+        found = re.match(r"\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*(.*?)\s*$", line)
+        if found and not line.lstrip().startswith("#"):
+            value = found[2]
+            quote_mark = value[:1]
+            if quote_mark in ("'", '"') and (end := value.find(quote_mark, 1)) > 0:
+                value = value[1:end]
+            else:
+                value = re.sub(r"\s+#.*$", "", value)
+            out[found[1]] = value
+    return out

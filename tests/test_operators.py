@@ -177,3 +177,39 @@ def test_snapshot(tmp_path):
 
 def test_fixture_manifests_parse():
     assert set(fixtures.GATE_MANIFEST.tables) == {"a", "b", "items", "parent"}
+
+
+def test_scrubbing_and_env_files(tmp_path):
+    url = "postgres://u:p%40ss@h/d"
+    assert urls.scrubbed(f"cannot reach {url} with p@ss or p%40ss; mysql://a:b@c", url) == "cannot reach [redacted] with [redacted] or [redacted]; mysql://[redacted]@c"
+    assert urls.export_source_url("postgres://h/d?schema=public&sslmode=require&pgbouncer=true") == "postgres://h/d?sslmode=require"
+    assert urls.export_source_url("file:a.db") == "file:a.db"
+    with pytest.raises(Refused):
+        urls.export_source_url("postgres://h/d?schema=other")
+    path = tmp_path / ".env"
+    path.write_text("# no\nA=1\nexport B='x & y' # z\nC = plain # note\nD=\n")
+    assert urls.read_env_file(str(path)) == {"A": "1", "B": "x & y", "C": "plain", "D": ""}
+
+
+def test_jdbc_statements():
+    from concordat.sinks import jdbc
+
+    assert jdbc.restart_statements([{"object": 'public.a"b', "restart_with": 6}, {"object": "public.c", "restart_with": None}]) == ['alter sequence "public"."a""b" restart with 6', 'alter sequence "public"."c" restart']
+    drop, add = jdbc.constraint_statements([{"table_schema": "public", "table": "t", "name": "fk", "definition": "FOREIGN KEY (a) REFERENCES p(id)"}])
+    assert drop == ['alter table "public"."t" drop constraint "fk"'] and add[0].endswith('add constraint "fk" FOREIGN KEY (a) REFERENCES p(id)')
+
+
+def test_schema_comparison_of_a_real_file(spark, tmp_path):
+    from concordat.operators.schema_diff import compare, strict_model
+
+    path = str(tmp_path / "s.db")
+    db = sqlite3.connect(path)
+    db.executescript("create table users (id integer primary key, name text not null, age integer check (age > 0), unique (name)); create unique index live on users (lower(name)) where age > 1;")
+    db.close()
+    columns = [("users", "id", "bigint", True, False), ("users", "name", "text", True, False), ("users", "age", "integer", False, False)]
+    indexes = [("users", "users_name_key", "CREATE UNIQUE INDEX users_name_key ON public.users USING btree (name)", True), ("users", "live", "CREATE UNIQUE INDEX live ON public.users USING btree (lower(name)) WHERE (age > 1)", True)]
+    strict = strict_model(columns, [("users", ["id"])], indexes, [("users", "CHECK ((age > 0))")])
+    assert compare(spark, sqlite.schema_model(path) + strict) == ([], "schemas match (0 allowed differences)")
+    worse = strict_model(columns[:2], [("users", ["id"])], indexes[:1], [])
+    left, report = compare(spark, sqlite.schema_model(path) + worse, [("check", None, None)])
+    assert [d["kind"] for d in left] == ["column-missing", "index"] and report.startswith("schemas differ: 2 differences")
