@@ -17,7 +17,7 @@ off by length; repeated rows are extracted one by one; null ids and URLs are car
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -84,6 +84,7 @@ class PageReader(HTMLParser):
         self.blocks: list[Block] = []
         self.parents: list[int] = [-1]
         self.stack: list[tuple[str, int, float, bool]] = []  # tag, container, odds, silent
+        self.open: Counter[str] = Counter()  # tags on the stack
         self.buffer: list[str] = []
         self.linked = 0
         self.links = 0
@@ -99,7 +100,7 @@ class PageReader(HTMLParser):
         self.buffer, self.linked = [], 0
 
     def _odds(self, tag: str, attrs: list[tuple[str, str | None]], outer: float) -> float:
-        inside = any(t in ("article", "main") for t, *_ in self.stack)
+        inside = self.open["article"] or self.open["main"]
         odds = outer + (0.0 if tag == "header" and inside else TAG_ODDS.get(tag, 0.0))
         marks = {WORD_ODDS[w] for w in attribute_words(attrs) if w in WORD_ODDS}
         if tag in ("html", "body"):
@@ -127,6 +128,7 @@ class PageReader(HTMLParser):
             container = len(self.parents) - 1
         self.links += tag == "a"
         self.stack.append((tag, container, self._odds(tag, attrs, odds), silent or tag in SILENT))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -134,10 +136,13 @@ class PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str, scope: frozenset[str] = frozenset()) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._flush()
                 self.links -= sum(t == "a" for t, *_ in self.stack[k:])
+                self.open.subtract(t for t, *_ in self.stack[k:])
                 del self.stack[k:]
                 return
             if self.stack[k][0] in scope:
@@ -148,7 +153,7 @@ class PageReader(HTMLParser):
             if tag == "br":
                 self.buffer.append(" ")
             return
-        if any(t == tag for t, *_ in self.stack):
+        if self.open[tag]:
             if tag in BLOCKS or tag in SILENT:
                 self._flush()
                 self._close(tag)
@@ -156,6 +161,7 @@ class PageReader(HTMLParser):
                 for k in range(len(self.stack) - 1, -1, -1):
                     if self.stack[k][0] == tag:
                         self.links -= tag == "a"
+                        self.open[tag] -= 1
                         del self.stack[k]
                         return
                     if self.stack[k][0] in BLOCKS:
@@ -167,7 +173,8 @@ class PageReader(HTMLParser):
             self.linked += len(data)
 
     def read(self, page: str) -> list[Block]:
-        self.feed(page)
+        end = page.rfind("-->") + 1  # comments that never end are no comments; each would be sought to the end
+        self.feed(page[:end] + page[end:].replace("<!--", ""))
         self.close()
         self._flush()
         return self.blocks

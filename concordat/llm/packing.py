@@ -15,8 +15,9 @@ an empty table has no piece. Sequences are padded to the window, unless their fi
 
 from __future__ import annotations
 
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,12 +37,19 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    table_entries: int = 200_000
+    table_entries: int = 400_000
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(maxsize=2)
 def _id_table(path: str, entries: int) -> Table:
-    return Table(path, entries, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    return Table(path, entries, _little_endian)
 
 
 def _tokenise(config: PackConfig):

@@ -40,7 +40,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    table_entries: int = 200_000
+    table_entries: int = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,65 +82,42 @@ _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: chr(b) for b in _PRINTS} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
 
 
-def piece_ids(library, pieces: list[bytes]) -> list[list[int]]:
-    """Ids of each piece. Plain words go to the merge model at once, the rest through all of the library."""
-    found: list = [None] * len(pieces)
-    whole = []
-    model = library.model
-    for k, piece in enumerate(pieces):
-        if piece.isalpha() and piece.islower():
-            found[k] = [t.id for t in model.tokenize(piece.decode("ascii"))]
-            continue
-        word = piece.decode("utf-8").lower()
-        if LETTERS.fullmatch(word):
-            spelled = word if word.isascii() else "".join(map(SPELLED.__getitem__, word.encode("utf-8")))
-            found[k] = [t.id for t in model.tokenize(spelled)]
-        else:
-            whole.append(k)
-    for k, answer in zip(whole, library.encode_batch_fast([pieces[k].decode("utf-8") for k in whole], add_special_tokens=False)):
-        found[k] = answer.ids
-    return found
-
-
-class Aged(dict):
-    """A table of two generations: what is used moves to the young one, and when that is full the old
-    one goes. Forgetting costs time and never a result."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key: bytes):
-        return self.old[key]
-
-    def lacks(self, keys: set[bytes]) -> list[bytes]:
-        """The keys in neither generation; those in the old one move to the young one. Generations
-        change here only, so after ``lacks`` and an update all the keys can be read."""
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        old = self.old
-        absent = [k for k in keys if k not in self]
-        self.update({k: old[k] for k in absent if k in old})
-        return [k for k in absent if k not in old]
+def word_spelling(core: bytes) -> str | None:
+    """How the merge model spells a run that is one word of plain letters, capitals allowed; None for others."""
+    word = core.decode("utf-8")
+    if not LETTERS.fullmatch(word):
+        word = word.lower()
+        if not LETTERS.fullmatch(word):
+            return None
+    return word if word.isascii() else "".join(map(SPELLED.__getitem__, word.encode("utf-8")))
 
 
 #: Bytes of text whose runs are learnt together.
 GROUP_BYTES = 1 << 20
 #: Marks that end many runs. After a letter they are always a pre-token of their own.
 ENDINGS = b".,;:!?"
+MARKS = [ENDINGS[k : k + 1] for k in range(len(ENDINGS))]
 
 
-#: Such a mark between letters, digits and white space of ASCII is a pre-token of its own as well.
-LONE_MARK = re.compile(rb"(?<![^a-z0-9\s])[.,;:!?](?![^a-z0-9\s])")
+#: Kinds of bytes: white space, letter or digit, mark of ENDINGS, other ASCII, not ASCII.
+KINDS = bytes(32 if b in WHITE else 97 if chr(b).isalnum() and b < 128 else 46 if b in ENDINGS else 120 if b < 128 else 117 for b in range(256))
+#: Neighbours of a mark that leave it doubtful whether it is a pre-token of its own.
+DOUBTFUL = (b"..", b"x.", b".x", b"u.", b".u")
 
 
 def runs_of(text: bytes) -> list[bytes]:
-    """The runs of a text, with capitals and lone marks out of the way where that changes no token: not in
-    texts that may hold a special token or a mark that composes with the letter before it."""
+    """The runs of a text, with capitals and marks out of the way where that changes no token: not in texts
+    that may hold a special token or a mark that composes with the letter before it, and marks only
+    where all of them stand between ASCII letters, digits and white space."""
     if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
         return text.split()
-    return LONE_MARK.sub(rb" \g<0> ", text.lower()).split()
+    text = text.lower()
+    kinds = text.translate(KINDS)
+    if not any(d in kinds for d in DOUBTFUL):
+        for mark in MARKS:
+            if mark in text:
+                text = text.replace(mark, b" " + mark + b" ")
+    return text.split()
 
 
 def parts(run: bytes) -> tuple[bytes, ...]:
@@ -160,32 +137,65 @@ def parts(run: bytes) -> tuple[bytes, ...]:
     return core, low[len(core) :]
 
 
-class Table(Aged):
-    """Annotations by run of bytes. ``learn`` compiles those of new runs: words of plain letters at once,
-    others from their parts, whose annotations add up."""
+class Table:
+    """Annotations by run of bytes, in two generations: what is used moves to the young one, and when that
+    is full the old one goes. Forgetting costs time and never a result.
+
+    New runs are compiled when they are met: words of plain letters at once, others from their parts,
+    whose annotations add up."""
 
     def __init__(self, path: str, most: int, annotate):
-        super().__init__(most)
-        self.path, self.annotate = path, annotate
+        self.path, self.most, self.annotate = path, most, annotate
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def _lacks(self, keys: set[bytes]) -> set[bytes]:
+        """The keys in neither generation; those in the old one move over. Afterwards the young one and
+        what is added to it hold all the keys."""
+        absent = keys.difference(self.young)
+        moved = absent.intersection(self.old)
+        self.young.update(zip(moved, map(self.old.__getitem__, moved)))
+        return absent - moved
 
     def learn(self, runs: set[bytes]) -> None:
-        new = self.lacks(runs)
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        new = self._lacks(runs)
         if not new:
             return
-        plain = [r for r in new if r.isalpha() and r.islower()]  # of bytes: a-z only
-        split = {r: parts(r) for r in set(new).difference(plain)} if len(plain) < len(new) else {}
-        wanted = {p for ps in split.values() for p in ps}.difference(plain)
-        asked = plain + self.lacks(wanted)
-        self.update(zip(asked, map(self.annotate, piece_ids(_library(self.path), asked))))
-        self.update({r: self[ps[0]] if len(ps) == 1 else self[ps[0]] + self[ps[1]] for r, ps in split.items()})
+        model, spelled, split, whole = _library(self.path).model, {}, {}, set()
+        for run in new:
+            if run.isalpha() and run.islower():  # of bytes: a-z only
+                spelled[run] = run.decode("ascii")
+                continue
+            core = run.rstrip(ENDINGS)
+            word = word_spelling(core)
+            if word is None:
+                split[run] = parts(run)
+                whole.update(split[run])
+            elif len(core) == len(run):
+                spelled[run] = word
+            else:
+                split[run] = (core, run[len(core) :])
+                spelled[core] = word
+                whole.add(split[run][1])
+        young, annotate = self.young, self.annotate
+        for run, word in spelled.items():
+            if run not in young:
+                young[run] = annotate([t.id for t in model.tokenize(word)])
+        asked = list(self._lacks(whole))
+        answers = _library(self.path).encode_batch_fast([p.decode("utf-8") for p in asked], add_special_tokens=False)
+        young.update(zip(asked, (annotate(x.ids) for x in answers)))
+        for run, ps in split.items():
+            young[run] = young[ps[0]] if len(ps) == 1 else young[ps[0]] + young[ps[1]]
 
     def of(self, runs: list[bytes]) -> list:
         """The annotations of the runs, in order."""
         try:
-            return list(map(self.__getitem__, runs))
+            return list(map(self.young.__getitem__, runs))
         except KeyError:
             self.learn(set(runs))
-            return list(map(self.__getitem__, runs))
+            return list(map(self.young.__getitem__, runs))
 
     def each(self, texts: list[bytes]) -> Iterator[list]:
         """The annotations of every text's runs. New runs of a group of texts are learnt together."""
@@ -215,7 +225,7 @@ class StateMap(NamedTuple):
 
 
 class Transducer:
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str, entries: int = 400_000):
         self.table = Table(path, entries, len)
 
     def emitted(self, runs: list[bytes]) -> int:
