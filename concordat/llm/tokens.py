@@ -96,6 +96,8 @@ def word_spelling(core: bytes) -> str | None:
 GROUP_BYTES = 1 << 20
 #: Marks that end many runs. After a letter they are always a pre-token of their own.
 ENDINGS = b".,;:!?"
+#: After a plain word, any marks up to the run's end are one pre-token.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 MARKS = [ENDINGS[k : k + 1] for k in range(len(ENDINGS))]
 
 
@@ -163,26 +165,23 @@ class Table:
         new = self._lacks(runs)
         if not new:
             return
-        model, spelled, split, whole = _library(self.path).model, {}, {}, set()
+        young, annotate, tokenize = self.young, self.annotate, _library(self.path).model.tokenize
+        split, whole = {}, set()
         for run in new:
             if run.isalpha() and run.islower():  # of bytes: a-z only
-                spelled[run] = run.decode("ascii")
+                young[run] = annotate([t.id for t in tokenize(run.decode("ascii"))])
                 continue
-            core = run.rstrip(ENDINGS)
+            core = run.rstrip(PUNCTUATION)
             word = word_spelling(core)
             if word is None:
                 split[run] = parts(run)
                 whole.update(split[run])
-            elif len(core) == len(run):
-                spelled[run] = word
             else:
-                split[run] = (core, run[len(core) :])
-                spelled[core] = word
-                whole.add(split[run][1])
-        young, annotate = self.young, self.annotate
-        for run, word in spelled.items():
-            if run not in young:
-                young[run] = annotate([t.id for t in model.tokenize(word)])
+                if core not in young:
+                    young[core] = annotate([t.id for t in tokenize(word)])
+                if len(core) < len(run):
+                    split[run] = (core, run[len(core) :])
+                    whole.add(split[run][1])
         asked = list(self._lacks(whole))
         answers = _library(self.path).encode_batch_fast([p.decode("utf-8") for p in asked], add_special_tokens=False)
         young.update(zip(asked, (annotate(x.ids) for x in answers)))
