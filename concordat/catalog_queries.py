@@ -42,7 +42,8 @@ def _spec(codec: str, nullable: bool = True, **options: object) -> ColumnSpec:
 
 def _read(df: DataFrame, key: str, spec: ColumnSpec, side: str, value: Column) -> DataFrame:
     """``(key, canonical, err)`` of one column."""
-    return df.select(key, value.alias("v")).select(key, codecs.canonical(spec, side, F.col("v")).alias("canonical"), codecs.error(spec, side, F.col("v")).alias("err"))
+    read = df.select(key, value.alias("v")).select(key, codecs.bind(spec, side, F.col("v")).alias("r"))
+    return read.select(key, codecs.written(spec, F.col("r.value")).alias("canonical"), F.col("r.err").alias("err"))
 
 
 # --- scans ------------------------------------------------------------------------------------

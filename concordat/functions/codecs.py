@@ -262,10 +262,16 @@ def bind(spec: ColumnSpec, side: str, value: Column) -> Column:
     return let(read, lambda r: F.struct(F.when(~absent, r["value"]).alias("value"), F.when(absent, null_err).otherwise(r["err"]).alias("err")))
 
 
+def written(spec: ColumnSpec, read: Column) -> Column:
+    """The canonical text of a logical value that ``bind`` gave; null for null."""
+    if spec.codec in ("real", "json-text"):  # these may go through Python, which a lambda cannot
+        return F.when(read.isNotNull(), codec_for(spec).canonical(read))
+    return let(read, lambda v: F.when(v.isNotNull(), codec_for(spec).canonical(v)))
+
+
 def canonical(spec: ColumnSpec, side: str, value: Column) -> Column:
     """The canonical text, null for NULL and for values that are not carried."""
-    read = bind(spec, side, value)["value"]
-    return F.when(read.isNotNull(), codec_for(spec).canonical(read))
+    return written(spec, bind(spec, side, value)["value"])
 
 
 def error(spec: ColumnSpec, side: str, value: Column) -> Column:

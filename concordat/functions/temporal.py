@@ -36,18 +36,23 @@ def _offset_seconds(zone: Column) -> Column:
 def _instant(text: Column, pattern: str, zone: int | None = None) -> Column:
     """``struct(micros, err)`` of a text that has the pattern's parts; ``zone`` is the part with the offset."""
     last = zone or (3 if pattern is DATE else 7)
-    parts = F.struct(text.rlike(pattern).alias("fits"), *[F.regexp_extract(text, pattern, k).alias(f"p{k}") for k in range(1, last + 1)])
+    # One replacement writes all parts with a separator between them, in place of one match for each part.
+    written = F.regexp_replace(text, pattern, "\x01".join(f"${k}" for k in range(1, last + 1)))
+    parts = F.struct(text.rlike(pattern).alias("fits"), F.split(written, "\x01").alias("p"))
+
+    def part(p: Column, k: int) -> Column:
+        return F.get(p["p"], F.lit(k - 1))
 
     def number(p: Column, k: int) -> Column:
-        return F.coalesce(p[f"p{k}"].try_cast("int"), F.lit(0)) if k <= last else F.lit(0)
+        return F.coalesce(part(p, k).try_cast("int"), F.lit(0)) if k <= last else F.lit(0)
 
     def read(p: Column) -> Column:
-        fraction = p["p7"] if last >= 7 else F.lit("")
+        fraction = part(p, 7) if last >= 7 else F.lit("")
         start = F.try_make_timestamp(*(number(p, k) for k in range(1, 6)), number(p, 6).cast("decimal(8,6)"), F.lit("UTC"))
         return F.struct(
             (p["fits"] & (number(p, 6) <= 59)).alias("fits"),
             (F.unix_micros(start) + F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("long")).alias("micros"),
-            (_offset_seconds(p[f"p{zone}"]) if zone else F.lit(0)).cast("long").alias("east"),
+            (_offset_seconds(part(p, zone)) if zone else F.lit(0)).cast("long").alias("east"),
             F.substring(fraction, 7, 1 << 20).rlike("[1-9]").alias("finer"),
         )
 
