@@ -8,12 +8,19 @@ known words) and the positional filter (words left after the first common one),
 exactly. The join is compiled from the templates into expressions over a document's own row, so
 documents are never shuffled; the one shuffle is that of token counts, one row for each token.
 
+Statements are often hard-wrapped, so the same templates, and the ``notices`` by which licenses are applied
+to files, are also held against overlapping windows of words over the whole text, whatever its lines.
+A window has a quarter more words than the template. It meets if at most ``1 - reach`` of the
+template's own words, and always one, are missing, and if the license's name and version stand in it
+word by word: CC BY-NC lacks one word of CC BY-SA only, and GPL one of LGPL. Only windows around one of
+the template's rarest words are looked at, of which no more may be missing than ``reach`` allows.
+
 Phrases (the base) are places where a phrase's words stand consecutively. Words are runs of digits,
 letters a-z and characters from U+0080 on, after A-Z are lower-cased.
 
 Defined results: a null text is an empty one: no words, no labels, score 0; ids may be null or
 repeat, rows are judged one by one. ``score`` is the largest containment of any template that passes
-the prefix filter, 1 if a phrase stands in the text, 0 if neither.
+the prefix filter on a line or meets a window, 1 if a phrase stands in the text, 0 if none.
 """
 
 from __future__ import annotations
@@ -48,6 +55,28 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "dedicated to the public domain under creative commons zero cc0 1 0"),
 )
+#: Further texts for windows only: the notices that the GNU licenses ask for, without their first words.
+_GNU = "redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license"
+NOTICES = (
+    ("gpl-3", _GNU.format("general public license", 3)),
+    ("gpl-2", _GNU.format("general public license", 2)),
+    ("lgpl-3", _GNU.format("lesser general public license", 3)),
+    ("agpl-3", _GNU.format("affero general public license", 3)),
+)
+#: What tells a license from its relatives: word runs that a window cannot miss, if its template has their words.
+NAMES = (
+    ("mit", ("mit license",)),
+    ("apache-2", ("apache license", "2 0")),
+    ("gpl-3", ("gnu general public license", "version 3")),
+    ("gpl-2", ("gnu general public license", "version 2")),
+    ("lgpl-3", ("lesser general public license", "version 3")),
+    ("agpl-3", ("affero general public license", "version 3")),
+    ("mpl-2", ("mozilla public license", "2 0")),
+    ("cc-by-nc", ("cc by nc 4 0",)),
+    ("cc-by-sa", ("cc by sa 4 0",)),
+    ("cc-by", ("creative commons attribution 4 0",)),
+    ("cc0", ("cc0 1 0",)),
+)
 
 
 @dataclass(frozen=True)
@@ -55,6 +84,9 @@ class LicenseConfig:
     phrases: tuple[tuple[str, str], ...] = PHRASES
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     threshold: float = 0.95
+    notices: tuple[tuple[str, str], ...] = NOTICES
+    names: tuple[tuple[str, tuple[str, ...]], ...] = NAMES
+    reach: float = 0.85
     vocabulary: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
@@ -126,6 +158,33 @@ def _template_hits(low: Column, order: list[str], config: LicenseConfig) -> Colu
     return F.flatten(F.transform(F.split(low, "\n"), over_block))
 
 
+def _window_hit(words: Column, present: Column, order: list[str], label: str, text: str, config: LicenseConfig) -> Column:
+    """``struct(label, containment)`` of the fullest window that meets a template or notice, or null."""
+    rank = {w: k for k, w in enumerate(order)}
+    own = sorted(set(text.split()), key=lambda w: (rank.get(w, len(order)), w))
+    size, length = len(own), math.ceil(1.25 * len(text.split()))
+    need = min(size - 1, math.ceil(config.reach * size - 1e-9))
+    fixed = [name.split() for name in dict(config.names).get(label, ()) if set(name.split()) <= set(own)]
+    mine, prefix = _strings(own), _strings(own[: size - need + 1])
+
+    def judged(window: Column) -> Column:
+        common = F.size(F.array_intersect(window, mine))
+        stands = [F.exists(F.sequence(F.lit(0), F.lit(length - len(run))), _stands_at(window, run)) for run in fixed]
+        return F.when(reduce(lambda a, b: a & b, stands, common >= need), common)
+
+    def around(at: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.greatest(at - length + 1, F.lit(0)), at), lambda i: let(F.slice(words, i + 1, length), judged)))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(prefix, F.get(words, i)))
+    best = F.when(F.size(F.array_intersect(present, mine)) >= need, F.array_max(F.transform(places, around)))
+    return let(best, lambda n: F.when(n.isNotNull(), F.struct(F.lit(label).alias("label"), (n / F.lit(float(size))).alias("containment"))))
+
+
+def _window_hits(words: Column, present: Column, order: list[str], config: LicenseConfig) -> Column:
+    """The hits of all templates and notices; ``present`` are those of their words that the text has."""
+    return F.array_compact(F.array(*[_window_hit(words, present, order, label, text, config) for label, text in config.templates + config.notices]))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LicenseConfig = LicenseConfig()) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` and ``score``."""
@@ -138,6 +197,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rare = [min(p.split(), key=lambda w: rank.get(w, -1)) for p, _ in config.phrases]
     no_place = F.array().cast("array<struct<label:string,start:bigint>>")
     no_hit = F.array().cast("array<struct<label:string,containment:double>>")
+    known = _strings(sorted({w for _, t in config.templates + config.notices for w in t.split()}))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), lowered(F.col(text_col)).alias("low"))
 
     def row(words: Column) -> Column:
@@ -145,10 +205,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.size(words).cast("long").alias("n_words"),
             F.when(F.arrays_overlap(words, _strings(rare)), _places(words, config)).otherwise(no_place).alias("places"),
             F.arrays_overlap(words, _strings(sorted(prefixes))).alias("candidate"),
+            let(F.array_intersect(words, known), lambda present: _window_hits(words, present, order, config)).alias("windows"),
         )
 
     judged = slim.withColumn("x", let(words_of(F.col("low")), row))
-    judged = judged.withColumn("hits", F.when(F.col("x.candidate"), _template_hits(F.col("low"), order, config)).otherwise(no_hit))
+    judged = judged.withColumn("hits", F.concat(F.when(F.col("x.candidate"), _template_hits(F.col("low"), order, config)).otherwise(no_hit), "x.windows"))
     base = F.array_sort(F.array_distinct(F.transform("x.places", lambda p: p["label"])))
     own = F.array_compact(F.transform("hits", lambda h: h["label"]))
     begins = F.transform("x.places", lambda p: p["start"])

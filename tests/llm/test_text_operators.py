@@ -130,6 +130,32 @@ def test_license_join_is_exact(spark):
         assert r.labels == ",".join(sorted(want))
 
 
+GNU = "under the terms of the\n * GNU {}General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+WRAPPED = [
+    (" * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+    ("This program is free software: you can redistribute it and/or modify\n * it " + GNU.format("", 2), "gpl-2"),
+    ("This program is free software: you can redistribute it and/or modify\n * it " + GNU.format("", 3), "gpl-3"),
+    ("This library is free software; you can redistribute it and/or\n * modify it " + GNU.format("Lesser ", 3), "lgpl-3"),
+    ("subject to the terms of the Mozilla\r\nPublic License, v. 2.0. If", "mpl-2"),
+    ("Distributed under the CC\nBY-SA 4.0.", "cc-by-sa"),
+    ("Redistribution and use in source or binary forms with or without modification are permitted", "bsd"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("This work is licensed under the GNU General\nPublic License, version 2.", ""),
+    ("Licensed\nunder CC BY-NC 4.0.", "cc-by-nc"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1", ""),
+    ("Permission is hereby granted. " + "Other words go between. " * 9 + "free of charge to any person obtaining a copy of this software", ""),
+]
+
+
+def test_licenses_across_lines(spark):
+    texts = [pad + t + pad for t, _ in WRAPPED for pad in ("", "\nsome prose around it\n" * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [found[k].labels for k in range(len(texts))] == [label for _, label in WRAPPED for _ in (0, 1)]
+    assert all(found[k].score >= 0.8 for k in found if found[k].labels)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="home"><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><div id="cookie-banner">We use cookies.</div><div class="ad">Buy now, it is cheap.</div>
 <div class="sidebar"><p>Popular posts are listed here today.</p></div><article><header><h1>Title &amp; more</h1></header><p><b>First  para <a href=x>link</a>.<br>next
