@@ -350,9 +350,20 @@ def _leaves(classes: DataFrame, config: JoinConfig, scratch: Scratch) -> DataFra
     return scratch.write(leaves.distinct(), "leaves")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: JoinConfig = JoinConfig()) -> DataFrame:
-    """One row per input row: the id, ``class_id``, ``n_links`` (different shingle sets linked to this
-    row's set) and ``n_copies`` (rows with the same set, this one included)."""
+def digest_of(text: Column, width: int) -> Column:
+    """The digest that names the shingle set of a text, null if it has none."""
+
+    @F.arrow_udf("binary")
+    def named(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py(), width) for t in texts)
+        return pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
+
+    return named(text)
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``(id, cls)`` and what is known of each shingle set: ``(cls, rep, n_copies, n_links,
+    class_id, comp)``; ``rep`` is the smallest id of its rows, ``comp`` the name of its class."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = scratch.write(slim.mapInArrow(tidy(_embed(config)), "id long, cls binary, size int, pay binary"), "rows")
@@ -382,11 +393,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = components.join(classes.select("cls", "rep"), "cls")
     ends = components.select("comp").distinct().join(classes.select(F.col("cls").alias("comp"), "rep"), "comp")
     least = named.select("comp", "rep").union(ends).groupBy("comp").agg(F.min("rep").alias("low"))
-    member = components.union(components.select("comp", "comp").distinct().toDF("cls", "comp")).join(least, "comp").select("cls", "low")
+    member = components.union(components.select("comp", "comp").distinct().toDF("cls", "comp")).join(least, "comp").select("cls", "comp", "low")
     degree = links.groupBy("cls").agg(F.sum("deg").alias("n_links"))
     known = classes.select("cls", "rep", "n_copies").join(degree, "cls", "left").join(member, "cls", "left")
-    known = known.select("cls", F.coalesce("low", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = rows.select("id", "cls").join(known, "cls", "left")
+    known = known.select("cls", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("low", "rep").alias("class_id"), F.coalesce("comp", "cls").alias("comp"))
+    return rows.select("id", "cls"), known
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: JoinConfig = JoinConfig()) -> DataFrame:
+    """One row per input row: the id, ``class_id``, ``n_links`` (different shingle sets linked to this
+    row's set) and ``n_copies`` (rows with the same set, this one included)."""
+    rows, known = _judge(docs, id_col, text_col, config)
+    out = rows.join(known, "cls", "left")
     alone = F.col("cls").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -397,16 +415,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: JoinConfig = JoinConfig()) -> DataFrame:
-    """The documents whose id is their class's smallest, with the input's own columns. Of rows that
-    repeat an id one stays; rows with a null id all stay. Only rows that may have to go are shuffled."""
+    """One document of each class, a row with its smallest id, with the input's own columns. A row goes
+    only if its own class has another survivor, whatever other rows have its id. Rows with a null id
+    and texts without a word all stay. Only rows that may have to go are shuffled."""
     scratch = Scratch(docs.sparkSession, "ngram-keep")
-    own = F.col(id_col) == F.col("class_id")
-    judged = near_duplicates(docs, id_col, text_col, config).filter(F.col(id_col).isNotNull())
-    ids = scratch.write(judged.groupBy(F.col(id_col).alias("id")).agg(F.bool_or(own).alias("stays"), F.count("*").alias("times")), "ids")
-    name = free_name(docs, "__gone")
-    gone = ids.filter("not stays").select("id")
+    rows, known = _judge(docs, id_col, text_col, config)
+    first = known.filter("rep is not null").groupBy("comp").agg(F.min(F.struct("rep", "cls")).alias("first"))
+    chosen = first.select(F.col("first.cls").alias("cls"), F.col("first.rep").alias("rep"))
+    judged = rows.filter("id is not null").join(chosen, "cls", "left")
+    stays = F.col("cls").isNull() | F.coalesce(F.col("id") == F.col("rep"), F.lit(False))
+    texts = scratch.write(judged.groupBy("id", "cls").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("times")), "texts")
+    ids = scratch.write(texts.groupBy("id").agg(F.bool_or("stays").alias("some"), F.sum("times").alias("times")), "ids")
+    name, mark, lost_mark = free_name(docs, "__gone"), free_name(docs, "__cls"), free_name(docs, "__lost")
+    gone = ids.filter("not some").select("id")
     doubtful = F.col(id_col).isNotNull() & maybe_in(gone, F.col(id_col), config.filter_bits)
     kept = docs.filter(doubtful).join(gone.withColumnRenamed("id", name), F.col(id_col) == F.col(name), "left_anti").unionByName(docs.filter(~doubtful))
-    if not ids.filter("stays and times > 1").isEmpty():
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    mixed = ids.filter("some and times > 1").select("id")
+    if not mixed.isEmpty():  # repeated ids: which of their rows go is told by the texts
+        unsure = F.col(id_col).isNotNull() & maybe_in(mixed, F.col(id_col), config.filter_bits)
+        named = scratch.write(kept.filter(unsure).withColumn(mark, digest_of(F.col(text_col), config.width)), "named")
+        lost = texts.filter("not stays").select(F.col("id").alias(name), F.col("cls").alias(lost_mark))
+        held = named.join(lost, (F.col(id_col) == F.col(name)) & (F.col(mark) == F.col(lost_mark)), "left_anti")
+        one = held.filter(F.col(mark).isNotNull()).dropDuplicates([id_col, mark])
+        kept = kept.filter(~unsure).unionByName(one.unionByName(held.filter(F.col(mark).isNull())).drop(mark))
     return kept

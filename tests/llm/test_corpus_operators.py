@@ -85,6 +85,19 @@ def test_join_against_brute_force(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0 and ngram_join.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    """A row goes only if its own class keeps another one, also if other texts have its id."""
+    draw = random.Random(4)
+    one, two, three, four = (draw.choices(WORDS, k=80) for _ in range(4))
+    near = [*two[:79], "other"]
+    rows = [(7, one), (7, two), (7, three), (7, three), (3, near), (7, four), (9, four), (9, one), (2, three), (7, []), (7, []), (None, one), (5, four[:40])]
+    df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows], "doc_id long, text string, __lost string").repartition(4)
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(7, one), (3, near), (2, three), (7, four), (7, []), (7, []), (None, one), (5, four[:40])]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, " ".join(w)) for i, w in want)
+
+
 def test_word_hashes_do_not_depend_on_place(monkeypatch):
     words = ["alpha", "béta", "x" * 300, "d"]
     one = common.word_hashes(" ".join(words * 50).encode())
