@@ -384,8 +384,12 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> t
     flagged = scratch.write(sketched.mapInArrow(tidy(_flag(config)), "leaf long, one int, two int, block int, cls binary"), "flagged")
 
     wanted = facts.join(flagged.select("cls").distinct(), "cls", "left_semi")
-    near = maybe_in(wanted.select(F.col("rep").alias("id")), F.col("id"), config.filter_bits)
+    near = maybe_in(wanted.filter("rep is not null").select(F.col("rep").alias("id")), F.col("id"), config.filter_bits)
     texts = slim.filter(F.col("id").isNotNull() & near).join(wanted.select("cls", F.col("rep").alias("id"), "size", "bits", "leaves"), "id").drop("id")
+    nameless = wanted.filter("rep is null").drop("rep")
+    if not nameless.isEmpty():  # sets of rows without an id are found by their digest
+        lone = slim.filter("id is null").select(digest_of(F.col("text"), config.width).alias("cls"), "text").filter("cls is not null").dropDuplicates(["cls"])
+        texts = texts.unionByName(scratch.write(lone.join(nameless, "cls"), "nameless"))
     exact = flagged.join(texts, "cls").repartition(*key).sortWithinPartitions(*key)
     links = scratch.write(exact.mapInArrow(tidy(_verify(config)), "cls binary, root binary, deg long"), "links")
 

@@ -98,6 +98,17 @@ def test_repeated_ids_keep_their_texts(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, " ".join(w)) for i, w in want)
 
 
+def test_links_of_rows_without_an_id(spark):
+    draw = random.Random(6)
+    one, two, three = (draw.choices(WORDS, k=100) for _ in range(3))
+    left, right = ["left"] * 8 + one[8:], one[:92] + ["right"] * 8  # both are linked to `one`, not to each other
+    rows = [(4, left), (9, right), (None, one), (None, two), (None, two), (None, [*two[:99], "end"]), (None, [*three[:99], "end"]), (8, three), (None, draw.choices(WORDS, k=50)), (None, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], EMPTY).repartition(3)
+    found = Counter(tuple(r) for r in ngram_join.near_duplicates(df).collect())
+    assert found == Counter([(4, 4, 1, 1), (9, 4, 1, 1), (None, 4, 2, 1), *[(None, None, 1, 2)] * 2, (None, None, 1, 1), (None, 8, 1, 1), (8, 8, 1, 1), *[(None, None, 0, 1)] * 2])
+    assert Counter(r.doc_id for r in ngram_join.keep_one_of_each(df).collect()) == Counter([4, 8, *[None] * 7])
+
+
 def test_word_hashes_do_not_depend_on_place(monkeypatch):
     words = ["alpha", "béta", "x" * 300, "d"]
     one = common.word_hashes(" ".join(words * 50).encode())
