@@ -6,7 +6,8 @@ sets share with probability equal to their similarity. Every *run* starts a tree
 the sets on one sampled token, and a node with more than ``small`` sets is split again on further
 sampled tokens until its sets are few, or until most of its members agree on any token, which
 splitting cannot change. What remains are leaves, compared by brute force: a bit sketch first,
-then the exact sets. The number of runs follows from the recall that is asked for.
+then the exact sets. The number of runs follows from the recall that is asked for, at any
+depth of the trees.
 
 Large leaves are cut into blocks and each pair of blocks is one unit of work, so no task holds an
 unbounded group. Leaves count the links of their members and give a spanning forest; pairs are
@@ -39,7 +40,11 @@ from pyspark.sql import functions as F
 from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, tidy, word_hashes
 
 BITS = 128
-COORDS = 24
+COORDS = 48
+
+
+def _binomial(n: int, k: int, p: float) -> float:
+    return math.comb(n, k) * p**k * (1 - p) ** (n - k)
 
 
 @dataclass(frozen=True)
@@ -59,11 +64,30 @@ class JoinConfig:
     filter_bits: int = 1 << 26
     seed: int = 20_240_917
 
+    def miss(self, runs: int) -> float:
+        """The rate at which a pair exactly at the threshold meets in no leaf or fails the sketch, if all
+        trees are split ``max_depth`` times. All runs draw from the same ``COORDS`` coordinates, so the
+        mean is taken over how many of these the pair shares. A pair stays together in a node if any
+        branch takes it on, and ends where the node is not split."""
+        same = self.threshold[0] / self.threshold[1]
+        total = 0.0
+        for k in range(COORDS + 1):
+            held = 1.0
+            children = [1.0]  # how many different children of a node hold the pair: branches may draw one coordinate twice
+            for _ in range(self.branches):
+                found = [k / COORDS - j / COORDS if j < k else 0.0 for j in range(len(children))]
+                children = [(children[j] * (1 - found[j]) if j < len(children) else 0.0) + (children[j - 1] * found[j - 1] if j else 0.0) for j in range(len(children) + 1)]
+            for _ in range(self.max_depth):
+                held = 1 - sum(p * (1 - held) ** j for j, p in enumerate(children))
+            total += _binomial(COORDS, k, same) * (1 - same * held) ** runs
+        return total + sum(_binomial(BITS, k, (1 - same) / 2) for k in range(self.most_unlike_bits + 1, BITS + 1))
+
     @property
     def runs(self) -> int:
-        """Runs until a pair at the threshold has shared a root token with the asked recall."""
-        miss = 1 - self.threshold[0] / self.threshold[1]
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(miss)) + 1)
+        """The fewest runs with the asked recall at the threshold, however deep the trees get."""
+        if self.miss(1 << 20) > 1 - self.recall:
+            raise ValueError(f"a recall of {self.recall} cannot be reached with {self.branches} branches, {COORDS} coordinates and {BITS} sketch bits")
+        return next(n for n in range(1, (1 << 20) + 1) if self.miss(n) <= 1 - self.recall)
 
     @property
     def most_unlike_bits(self) -> int:

@@ -109,6 +109,29 @@ def test_links_of_rows_without_an_id(spark):
     assert Counter(r.doc_id for r in ngram_join.keep_one_of_each(df).collect()) == Counter([4, 8, *[None] * 7])
 
 
+def test_runs_hold_the_recall_at_every_depth():
+    """Trees over random coordinates of pairs at the threshold: none may be split off more often than asked."""
+    config, draw = ngram_join.JoinConfig(), np.random.default_rng(12)
+
+    def missed(runs, depth, n=400_000):
+        shared = draw.binomial(ngram_join.COORDS, 0.8, n)[:, None] / ngram_join.COORDS
+        lost = np.ones(n, dtype=bool)
+        for _ in range(runs):
+            pairs = (draw.random((n, 1)) < 0.8).sum(axis=1)
+            for _ in range(depth):  # nodes that still hold both of a pair
+                first = draw.binomial(pairs, shared[:, 0])
+                again = draw.binomial(first, np.maximum(shared[:, 0] - 1 / ngram_join.COORDS, 0))  # another coordinate, not the same
+                pairs = first + again + draw.binomial(pairs - first, shared[:, 0])
+            lost &= pairs == 0
+        return lost.mean()
+
+    assert config.branches == 2
+    for depth in (0, 4, config.max_depth):
+        assert missed(config.runs, depth) <= 1 - config.recall + 5e-5
+    shallow = ngram_join.JoinConfig(max_depth=3)
+    assert abs(missed(2, 3) / shallow.miss(2) - 1) < 0.05
+
+
 def test_word_hashes_do_not_depend_on_place(monkeypatch):
     words = ["alpha", "béta", "x" * 300, "d"]
     one = common.word_hashes(" ".join(words * 50).encode())
