@@ -4,10 +4,10 @@ The self-join finds all pairs of different shingle sets with Jaccard similarity
 ``threshold``. Sets are embedded by minwise hashing, so each coordinate is a sampled token that two
 sets share with probability equal to their similarity. Every *run* starts a tree: its root splits
 the sets on one sampled token, and a node with more than ``small`` sets is split again on further
-sampled tokens until its sets are few, or until most of its members agree on any token, which
-splitting cannot change. What remains are leaves, compared by brute force: a bit sketch first,
-then the exact sets. The number of runs follows from the recall that is asked for, at any
-depth of the trees.
+sampled tokens until its sets are few, or until a split would no longer halve the pairs to compare,
+because its members agree on so many tokens. What remains are leaves, compared by brute force: a bit
+sketch first, then the exact sets. The number of runs follows from the recall that is asked for, at
+any depth of the trees.
 
 Large leaves are cut into blocks and each pair of blocks is one unit of work, so no task holds an
 unbounded group. Leaves count the links of their members and give a spanning forest; pairs are
@@ -55,10 +55,14 @@ class JoinConfig:
     width: int = 5
     threshold: tuple[int, int] = (4, 5)
     recall: float = 0.9999
-    small: int = 64
+    #: Sets of a leaf that are compared without a further split; at this size a set's comparisons in its
+    #: leaf cost about as much as the two rows that a split would write for it.
+    small: int = 512
     branches: int = 2
     max_depth: int = 8
-    alike: float = 0.6
+    #: A node is split on if its children, all branches together, hold at most this share of its pairs.
+    #: Families of near copies agree on most tokens: splitting them writes rows and spares no comparison.
+    worth: float = 0.5
     block_sets: int = 1024
     block_shingles: int = 1 << 21
     filter_bits: int = 1 << 26
@@ -341,11 +345,14 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _leaves(classes: DataFrame, config: JoinConfig, scratch: Scratch) -> DataFrame:
-    """The leaves of all trees as ``(cls, leaf)``; leaves with one member are left out."""
+    """The leaves of all trees as ``(cls, leaf)``; leaves with one member are left out. Sizes of nodes are
+    written before they are joined, so that both sides of such a join are plain shuffles, of which
+    Spark splits the hot ones."""
     runs = config.runs
     roots = F.array(*[F.xxhash64(F.lit(config.seed), F.lit(r), F.substring("pay", 8 * r + 1, 8)) for r in range(runs)])
     nodes = classes.select("cls", F.explode(roots).alias("node"))
-    live = scratch.write(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node").select("cls", "node", "n"), "level-0")
+    sizes = scratch.write(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    live = scratch.write(nodes.join(sizes, "node").select("cls", "node", "n"), "level-0")
     leaves = live.filter(F.col("n") <= config.small).select("cls", F.col("node").alias("leaf"))
     coords = F.substring("pay", 8 * runs + BITS // 8 + 1, 2 * COORDS).alias("coords")
     large = live.filter(F.col("n") > config.small)
@@ -358,17 +365,18 @@ def _leaves(classes: DataFrame, config: JoinConfig, scratch: Scratch) -> DataFra
 
         tokens = F.array(*[F.xxhash64("node", kid(b), F.substring(F.col("coords"), 2 * kid(b) + 1, F.lit(2))) for b in range(config.branches)])
         here = large.join(classes.select("cls", coords), "cls")
-        kids = here.select("cls", "node", "n", F.explode(F.array_distinct(tokens)).alias("child"))
-        counts = kids.groupBy("node", "child").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        alike = F.sum(F.col("k").cast("double") * F.col("k")) / (F.first("n").cast("double") * F.first("n") * config.branches)
-        split = scratch.write(counts.groupBy("node").agg(alike.alias("alike")), f"split-{depth}")
-        done = F.col("alike") >= config.alike if depth < config.max_depth else F.lit(True)
+        kids = scratch.write(here.select("cls", "node", "n", F.explode(F.array_distinct(tokens)).alias("child")), f"kids-{depth}")
+        counts = scratch.write(kids.groupBy("node", "child").agg(F.count("*").alias("k"), F.first("n").alias("n")), f"counts-{depth}")
+        left = F.sum(F.col("k").cast("double") * F.col("k")) / (F.first("n").cast("double") * F.first("n"))
+        split = scratch.write(counts.groupBy("node").agg(left.alias("left")), f"split-{depth}")
+        done = F.col("left") > config.worth if depth < config.max_depth else F.lit(True)
         leaves = leaves.union(large.join(split.filter(done).select("node"), "node").select("cls", F.col("node").alias("leaf")))
         if depth >= config.max_depth:
             break
-        going = kids.join(split.filter(~done).select("node"), "node", "left_semi")
-        level = going.join(counts.filter("k > 1").select("node", "child", "k"), ["node", "child"]).select("cls", F.col("child").alias("node"), F.col("k").alias("n"))
-        live = scratch.write(level, f"level-{depth}")
+        going = counts.filter("k > 1").join(split.filter(~done).select("node"), "node", "left_semi").select("node", "child", "k")
+        going = scratch.write(going, f"going-{depth}")
+        live = scratch.write(kids.join(going, ["node", "child"]).select("cls", F.col("child").alias("node"), F.col("k").alias("n")), f"level-{depth}")
+        scratch.drop(f"kids-{depth}")
         leaves = leaves.union(live.filter(F.col("n") <= config.small).select("cls", F.col("node").alias("leaf")))
         large = live.filter(F.col("n") > config.small)
     return scratch.write(leaves.distinct(), "leaves")
