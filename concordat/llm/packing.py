@@ -15,12 +15,9 @@ an empty table has no piece. Sequences are padded to the window, unless their fi
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import Scratch, tidy
-from concordat.llm.tokens import Table, byte_texts, tokenizer_path
+from concordat.llm.machine import machine
+from concordat.llm.tokens import WHITE, byte_texts, tokenizer_path
 
 
 @dataclass(frozen=True)
@@ -37,32 +35,33 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    table_entries: int = 500_000
+    most_states: int = 300_000
+    chunk_bytes: int = 1 << 20
 
 
-def _little_endian(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-@lru_cache(maxsize=2)
-def _id_table(path: str, entries: int) -> Table:
-    return Table(path, entries, _little_endian)
+def parts(text: bytes, chunk_bytes: int) -> list[bytes]:
+    """A text cut at white space, where no token changes, after every ``chunk_bytes`` bytes or as soon
+    after them as there is some."""
+    out, at = [], 0
+    while len(text) - at > chunk_bytes and (found := WHITE.search(text, at + chunk_bytes)):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
 
 
 def _tokenise(config: PackConfig):
     schema = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _id_table(tokenizer_path(config.tokenizer), config.table_entries)
+        reader = machine(tokenizer_path(config.tokenizer), config.most_states)
         end = np.array([config.end_id], dtype="<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                ids = [b"".join(found) + end for found in table.each(byte_texts(batch.column(1)))]
+                cut = [parts(t, config.chunk_bytes) for t in byte_texts(batch.column(1))]
+                found = iter(reader.ids([p for ps in cut for p in ps]))
+                ids = [b"".join([*(next(found).tobytes() for _ in ps), end]) for ps in cut]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -1,38 +1,35 @@
 """Token counts by a compiled finite-state transducer.
 
-A tokenizer whose pre-tokenizer drops white space works on each run of non-white characters by
-itself. Seen as a machine that reads bytes, it is in the state ``between words`` after white space
-and in the state of the prefix read so far inside a run; the transition on the white space that
-ends a run is annotated with the number of tokens the run becomes. ``Transducer`` compiles those
-annotations from the tokenizer's own file when a run is first met and keeps them in a table of
-bounded size (prefix chains are compressed to one labelled transition per run).
-
-White space resets the machine, so the map from entry state to exit state and emitted count of any
-chunk has three parts: the bytes before the first white space, the count of the runs that lie whole
-inside, and the bytes after the last white space. These maps compose associatively. Long texts
-are cut into chunks wherever the chunk size falls and their maps meet in a balanced scan.
-
-Defined results: a null text is an empty one (0 bytes, 0 tokens); ids may be null or repeat.
+``machine`` compiles the tokenizer's merge table into a deterministic machine over bytes whose
+transitions are annotated with the change in the number of tokens. White space brings it back to its
+first state, so the map of any chunk from entry states to exit state and emitted count has three
+parts: the run of bytes before the first white space, which continues whatever run is open, the count
+of the runs that lie whole inside, and the run that is left open at the end. These maps compose
+associatively. Every text is a sequence of chunks, cut wherever the chunk size falls, between the
+maps of its two edges; neighbours are composed level by level, as a parallel prefix scan does, all
+texts of a batch together.
+
+Defined results: a null text is an empty one (0 bytes, 0 tokens); ids may be null or repeat, rows are
+counted one by one; an empty table has no row; nothing is cut off from long texts. A run without any
+white space has to fit the worker's memory.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import NamedTuple
-from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from concordat.llm.common import tidy
+from concordat.llm.machine import Machine, machine
 
-#: Bytes at which ``bytes.split`` cuts; every one is white space for the tokenizers below as well.
-WHITE = b" \t\n\r\x0b\x0c"
+#: Bytes that bring the machine back to its first state, whatever stands around them.
+WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 @dataclass(frozen=True)
@@ -40,7 +37,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    table_entries: int = 500_000
+    most_states: int = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,168 +49,6 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def supported(spec: dict) -> bool:
-    """Whether a tokenizer file is of the family this module compiles: lower-casing, white space
-    dropped, runs of letters and runs of marks as pre-tokens, byte-level merges inside each."""
-    normal = spec.get("normalizer") or {}
-    lower = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
-    alternatives = (steps[0].get("pattern") or {}).get("Regex", "").split("|")
-    return lower and split and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(alternatives) and steps[-1].get("type") == "ByteLevel"
-
-
-@lru_cache(maxsize=4)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    spec = {k: json.loads(part.__getstate__()) if part else None for k, part in (("normalizer", library.normalizer), ("pre_tokenizer", library.pre_tokenizer))}
-    if not supported(spec):
-        raise ValueError(f"{os.path.basename(path)}: only lower-casing tokenizers that drop white space are compiled")
-    return library
-
-
-#: Letters that neither normalisation nor lower-casing changes; runs of them are one pre-token.
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
-#: Byte-level merges spell a byte that prints as itself, any other as the next free character.
-_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SPELLED = {b: chr(b) for b in _PRINTS} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
-
-
-def word_spelling(core: bytes) -> str | None:
-    """How the merge model spells a run that is one word of plain letters, capitals allowed; None for others."""
-    word = core.decode("utf-8")
-    if not LETTERS.fullmatch(word):
-        word = word.lower()
-        if not LETTERS.fullmatch(word):
-            return None
-    return word if word.isascii() else "".join(map(SPELLED.__getitem__, word.encode("utf-8")))
-
-
-#: Bytes of text whose runs are learnt together.
-GROUP_BYTES = 1 << 20
-#: Marks that end many runs. After a letter they are always a pre-token of their own.
-ENDINGS = b".,;:!?"
-#: After a plain word, any marks up to the run's end are one pre-token.
-PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-MARKS = [ENDINGS[k : k + 1] for k in range(len(ENDINGS))]
-
-
-#: Kinds of bytes: white space, letter or digit, mark of ENDINGS, other ASCII, not ASCII.
-KINDS = bytes(32 if b in WHITE else 97 if chr(b).isalnum() and b < 128 else 46 if b in ENDINGS else 120 if b < 128 else 117 for b in range(256))
-#: Neighbours of a mark that leave it doubtful whether it is a pre-token of its own.
-DOUBTFUL = (b"..", b"x.", b".x", b"u.", b".u")
-
-
-def runs_of(text: bytes) -> list[bytes]:
-    """The runs of a text, with capitals and marks out of the way where that changes no token: not in texts
-    that may hold a special token or a mark that composes with the letter before it, and marks only
-    where all of them stand between ASCII letters, digits and white space."""
-    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-        return text.split()
-    text = text.lower()
-    kinds = text.translate(KINDS)
-    if not any(d in kinds for d in DOUBTFUL):
-        for mark in MARKS:
-            if mark in text:
-                text = text.replace(mark, b" " + mark + b" ")
-    return text.split()
-
-
-def parts(run: bytes) -> tuple[bytes, ...]:
-    """A run as pieces that the tokenizer treats alike: lower-cased, marks at the end cut off. Runs that
-    may hold a special token or characters that composition joins, and those that do not end in a
-    letter and marks, stay whole."""
-    if b"<|" in run:
-        return (run,)
-    if not run.isascii():
-        text = run.decode("utf-8")
-        if not (is_normalized("NFC", text) and is_normalized("NFC", text.lower())):
-            return (run,)
-    low = run.lower()  # of bytes: A-Z only
-    core = low.rstrip(ENDINGS)
-    if len(core) == len(low) or not core or not core.decode("utf-8").lower()[-1].isalpha():
-        return (low,)
-    return core, low[len(core) :]
-
-
-class Table:
-    """Annotations by run of bytes, in two generations: what is used moves to the young one, and when that
-    is full the old one goes. Forgetting costs time and never a result.
-
-    New runs are compiled when they are met: words of plain letters at once, others from their parts,
-    whose annotations add up."""
-
-    def __init__(self, path: str, most: int, annotate):
-        self.path, self.most, self.annotate = path, most, annotate
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def _lacks(self, keys: set[bytes]) -> set[bytes]:
-        """The keys in neither generation; those in the old one move over. Afterwards the young one and
-        what is added to it hold all the keys."""
-        absent = keys.difference(self.young)
-        moved = absent.intersection(self.old)
-        self.young.update(zip(moved, map(self.old.__getitem__, moved)))
-        return absent - moved
-
-    def learn(self, runs: set[bytes]) -> None:
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
-        new = self._lacks(runs)
-        if not new:
-            return
-        young, annotate, tokenize = self.young, self.annotate, _library(self.path).model.tokenize
-        split, whole = {}, set()
-        for run in new:
-            if run.isalpha() and run.islower():  # of bytes: a-z only
-                young[run] = annotate([t.id for t in tokenize(run.decode("ascii"))])
-                continue
-            core = run.rstrip(PUNCTUATION)
-            word = word_spelling(core)
-            if word is None:
-                split[run] = parts(run)
-                whole.update(split[run])
-            else:
-                if core not in young:
-                    young[core] = annotate([t.id for t in tokenize(word)])
-                if len(core) < len(run):
-                    split[run] = (core, run[len(core) :])
-                    whole.add(split[run][1])
-        asked = list(self._lacks(whole))
-        answers = _library(self.path).encode_batch_fast([p.decode("utf-8") for p in asked], add_special_tokens=False)
-        young.update(zip(asked, (annotate(x.ids) for x in answers)))
-        for run, ps in split.items():
-            young[run] = young[ps[0]] if len(ps) == 1 else young[ps[0]] + young[ps[1]]
-
-    def of(self, runs: list[bytes]) -> list:
-        """The annotations of the runs, in order."""
-        try:
-            return list(map(self.young.__getitem__, runs))
-        except KeyError:
-            self.learn(set(runs))
-            return list(map(self.young.__getitem__, runs))
-
-    def each(self, texts: list[bytes]) -> Iterator[list]:
-        """The annotations of every text's runs. New runs of a group of texts are learnt together."""
-        group: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            group.append(runs_of(text))
-            size += len(text)
-            if size > GROUP_BYTES:
-                yield from self._each(group)
-                group, size = [], 0
-        yield from self._each(group)
-
-    def _each(self, group: list[list[bytes]]) -> Iterator[list]:
-        self.learn(set().union(*group))
-        for runs in group:
-            yield self.of(runs)
-
-
 class StateMap(NamedTuple):
     """``head`` is what a chunk adds to the run that is open before it; ``count`` is what the runs
     inside emit, or None if the chunk has no white space; ``tail`` is the run left open."""
@@ -223,55 +58,56 @@ class StateMap(NamedTuple):
     tail: bytes
 
 
-class Transducer:
-    def __init__(self, path: str, entries: int = 500_000):
-        self.table = Table(path, entries, len)
-
-    def emitted(self, runs: list[bytes]) -> int:
-        return sum(self.table.of(runs))
+#: White space and nothing else: what stands before and after a text.
+EDGE = StateMap(b"", 0, b"")
 
-    def state_map(self, chunk: bytes) -> StateMap:
-        runs = chunk.split()
-        white = chunk.strip(WHITE) != chunk
-        if len(runs) < 2 and not white:
-            return StateMap(chunk, None, b"")
-        head = b"" if chunk[:1] in WHITE and chunk else runs.pop(0)
-        tail = b"" if chunk[-1:] in WHITE or not runs else runs.pop()
-        return StateMap(head, self.emitted(runs), tail)
 
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a.count is None and b.count is None:
-            return StateMap(a.head + b.head, None, b"")
+class Transducer:
+    def __init__(self, reader: Machine):
+        self.reader = reader
+
+    def state_maps(self, chunks: list[bytes]) -> list[StateMap]:
+        """The maps of many chunks; what lies inside them goes through the machine at once."""
+        cut = []
+        for chunk in chunks:
+            first = WHITE.search(chunk)
+            if first is None:
+                cut.append((chunk, None, b""))
+                continue
+            inner = chunk[first.start() :]
+            tail = b"" if WHITE.match(inner, len(inner) - 1) else inner.rsplit(None, 1)[-1]
+            cut.append((chunk[: first.start()], inner[: len(inner) - len(tail)], tail))
+        counts = iter(self.reader.count([inner for _, inner, _ in cut if inner is not None]))
+        return [StateMap(head, None if inner is None else next(counts), tail) for head, inner, tail in cut]
+
+    @staticmethod
+    def compose(a: StateMap, b: StateMap, between: int) -> StateMap:
+        """``between`` is the count of the run that ``a`` leaves open and ``b`` closes."""
         if a.count is None:
             return StateMap(a.head + b.head, b.count, b.tail)
         if b.count is None:
             return StateMap(a.head, a.count, a.tail + b.head)
-        middle = a.tail + b.head
-        return StateMap(a.head, a.count + b.count + (self.emitted([middle]) if middle else 0), b.tail)
-
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        """Compose neighbours level by level, as a parallel scan does."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0] if maps else StateMap(b"", None, b"")
-
-    def finish(self, total: StateMap) -> int:
-        ends = [x for x in (total.head, total.tail) if x]
-        return (total.count or 0) + (self.emitted(ends) if ends else 0)
+        return StateMap(a.head, a.count + between + b.count, b.tail)
+
+    def level(self, rows: list[list[StateMap]]) -> list[list[StateMap]]:
+        """Every row of maps with its neighbours composed; a last map without one stays."""
+        pairs = [(a, b) for row in rows for a, b in zip(row[::2], row[1::2])]
+        closed = [k for k, (a, b) in enumerate(pairs) if a.count is not None and b.count is not None and (a.tail or b.head)]
+        between = dict(zip(closed, self.reader.count([pairs[k][0].tail + pairs[k][1].head for k in closed])))
+        made = iter([self.compose(a, b, between.get(k, 0)) for k, (a, b) in enumerate(pairs)])
+        return [[next(made) for _ in range(len(row) // 2)] + row[len(row) & ~1 :] for row in rows]
+
+    def scan(self, rows: list[list[StateMap]]) -> list[StateMap]:
+        """Each row composed to one map."""
+        while any(len(row) > 1 for row in rows):
+            rows = self.level(rows)
+        return [row[0] for row in rows]
 
     def counts(self, texts: list[bytes], chunk_bytes: int = 1 << 16) -> list[int]:
-        """Token counts of texts; short ones are a single chunk each, long ones are scanned."""
-        short = iter([sum(found) for found in self.table.each([t for t in texts if len(t) <= chunk_bytes])])
-        return [next(short) if len(t) <= chunk_bytes else self.count(t, chunk_bytes) for t in texts]
-
-    def count(self, text: bytes, chunk_bytes: int = 1 << 16) -> int:
-        return self.finish(self.scan([self.state_map(text[k : k + chunk_bytes]) for k in range(0, len(text), chunk_bytes)]))
-
-
-@lru_cache(maxsize=2)
-def transducer(path: str, entries: int) -> Transducer:
-    """One per worker process, so that later tasks find the table filled."""
-    return Transducer(path, entries)
+        """Token counts of texts."""
+        chunks = [[t[k : k + chunk_bytes] for k in range(0, len(t), chunk_bytes)] for t in texts]
+        maps = iter(self.state_maps([c for row in chunks for c in row]))
+        return [total.count for total in self.scan([[EDGE, *(next(maps) for _ in row), EDGE] for row in chunks])]
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:
@@ -284,12 +120,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(tokenizer_path(config.tokenizer), config.table_entries)
+        transducer = Transducer(machine(tokenizer_path(config.tokenizer), config.most_states))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = byte_texts(batch.column(1))
-                counts = machine.counts(texts, config.chunk_bytes)
+                counts = transducer.counts(texts, config.chunk_bytes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > config.limit for n in counts], pa.bool_())], schema=schema)
 
     slim = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
