@@ -25,7 +25,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resampling.filter_resampled(docs, _table(spark, sf_dir, "labels"))
+    """Fitted on the whole table: after the rules hardly any bad text is left to tell good text from."""
+    return resampling.filter_resampled(docs, _table(spark, sf_dir, "labels"), corpus=_table(spark, sf_dir, "documents"))
 
 
 def apply_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
