@@ -7,10 +7,8 @@ against brute force.
 
 from __future__ import annotations
 
-import math
-
 from concordat.llm.fixity import FixityConfig
-from concordat.llm.license_scan import LicenseConfig
+from concordat.llm.license_scan import LicenseConfig, plain_words
 from concordat.llm.quality_rules import STOP_WORDS, QualityConfig
 from concordat.llm.url_filter import LOWER, UPPER, UrlConfig
 
@@ -86,10 +84,11 @@ select page_id, host, path, site.rule as rule, coalesce(site.verdict, own.verdic
 
 
 def _licenses(config: LicenseConfig) -> str:
-    rows = []
-    for k, (label, text) in enumerate(config.templates):
-        words = sorted(set(text.split()))
-        rows.append(f"({k}, {_q(label)}, {_list(words)}, {len(words)}, {math.ceil(config.threshold * len(words) - 1e-9)})")
+    """All blocks that begin at a place of one of a template's words, counted one by one."""
+    rows, names = [], []
+    for k, t in enumerate(config.templates):
+        rows.append(f"({k}, {_q(t.label)}, {_list(t.words)}, {len(t.words)}, {t.need(config.threshold)}, {t.window(config.stretch)}, {len(t.names)})")
+        names += [f"({k}, {_q(n)}, {_list(plain_words(n))})" for n in t.names]
     split = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     places = []
     for phrase, label in config.phrases:
@@ -99,14 +98,21 @@ def _licenses(config: LicenseConfig) -> str:
     return f"""
 with d as (select row_number() over () as row, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
 w as (select *, list_filter(regexp_split_to_array(low, {split}), lambda x: x <> '') as ws from d),
-t(tid, label, words, size, need) as (values {", ".join(rows)}),
-vocabulary as (select distinct unnest(words) as word from t),
-ordered as (select v.word, row_number() over (order by count(o.word), v.word) as rank from vocabulary v left join (select row, unnest(list_distinct(ws)) as word from w) o on o.word = v.word group by v.word),
-prefixes as (select tid, list(word) as prefix from (select t.tid, t.size, t.need, o.word, row_number() over (partition by t.tid order by o.rank) as place from (select tid, size, need, unnest(words) as word from t) t join ordered o on o.word = t.word) where place <= size - need + 1 group by tid),
-lines as (select row, list_distinct(list_filter(regexp_split_to_array(line, {split}), lambda x: x <> '')) as lw from (select row, unnest(string_split(low, chr(10))) as line from d)),
-known as (select row, lw from lines where len(list_intersect(lw, (select list(word) from vocabulary))) > 0),
-pairs as (select k.row, t.label, len(list_intersect(k.lw, t.words)) as common, t.size, t.need from known k join t on true join prefixes p on p.tid = t.tid where len(list_intersect(k.lw, p.prefix)) > 0),
-hits as (select row, list(label) filter (where common >= need) as own, max(common / size) as best from pairs group by row),
+t(tid, label, words, size, need, win, n_names) as (values {", ".join(rows)}),
+names(tid, name, run) as (values {", ".join(names)}),
+tw as (select tid, unnest(words) as word from t),
+have as (select row, unnest(list_distinct(ws)) as word from w),
+candidates as (select h.row, t.tid, any_value(t.need) as need from have h join tw using (word) join t on t.tid = tw.tid group by h.row, t.tid having count(*) >= any_value(t.need)),
+spread as (select row, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from w where row in (select row from candidates)),
+places as (
+  select c.row, c.tid, s.word as code, s.pos, 1 as long, false as named from candidates c join spread s on s.row = c.row join tw on tw.tid = c.tid and tw.word = s.word
+  union all
+  select c.row, c.tid, n.name, i, len(n.run), true from candidates c join names n on n.tid = c.tid join w on w.row = c.row, unnest(range(0, len(w.ws) - len(n.run) + 1)) as u(i) where w.ws[i + 1 : i + len(n.run)] = n.run),
+counted as (
+  select a.row, a.tid, a.pos, count(distinct b.code) filter (where not b.named) as words, count(distinct b.code) filter (where b.named) as found
+    from (select distinct row, tid, pos from places) a join t on t.tid = a.tid join places b on b.row = a.row and b.tid = a.tid and b.pos >= a.pos and b.pos + b.long <= a.pos + t.win
+   group by a.row, a.tid, a.pos),
+hits as (select c.row, list(t.label) as own, max(c.words / t.size) as best from counted c join t on t.tid = c.tid where c.words >= t.need and c.found = t.n_names group by c.row),
 b as (select *, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) as places from w),
 e as (select b.*, list_sort(list_distinct(list_transform(places, lambda p: p.label))) as base, h.own, h.best from b left join hits h on h.row = b.row)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(len(places) as bigint) as n_base, cast(list_min(list_transform(places, lambda p: p.start)) as bigint) as first_word,

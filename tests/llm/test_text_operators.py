@@ -112,22 +112,53 @@ def test_license_base_and_templates(spark):
     assert [labels[k + j] for j in (4, 5, 6)] == ["gpl-3", "", "cc-by"]
 
 
+def joined(words, config):
+    """Labels and the largest share, from every block of every template."""
+    labels, best = set(), 0.0
+    for t in config.templates:
+        own, need, width, names = set(t.words), t.need(config.threshold), t.window(config.stretch), [license_scan.plain_words(n) for n in t.names]
+        for k in range(1 - width, len(words)):
+            block = words[max(k, 0) : k + width]
+            common = len(own & set(block))
+            if common >= need and all(any(block[j : j + len(n)] == n for j in range(len(block))) for n in names):
+                labels.add(t.label)
+                best = max(best, common / len(own))
+    return labels, best
+
+
 def test_license_join_is_exact(spark):
-    """All templates against all lines by brute force over word sets."""
-    config = license_scan.LicenseConfig(threshold=0.6)
-    pool = sorted({w for _, t in config.templates for w in t.split()})
+    """Texts with whole and torn templates, against all blocks by brute force."""
     import random
 
-    draw = random.Random(8)
-    lines = [" ".join(draw.sample(pool, draw.randint(1, 22))) for _ in range(250)] + [t for _, t in config.templates]
-    texts = ["\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    config, draw = license_scan.LicenseConfig(threshold=0.6), random.Random(8)
+    pool = sorted({w for t in config.templates for w in t.words})
+    texts = []
+    for k in range(120):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            words = license_scan.plain_words(draw.choice(config.templates).text)
+            for _ in range(draw.randint(0, len(words) // 3)):
+                at = draw.randrange(len(words))
+                words[at : at + draw.randint(0, 1)] = draw.choice([[], [draw.choice(pool)], ["prose", "between"]])
+            parts += words + draw.choices([*pool, "prose"], k=draw.randint(0, 12))
+        texts.append(draw.choice(["\n", " ", ", "]).join(parts))
+    df = spark.createDataFrame([*enumerate(texts), (500, None), (501, "")], "doc_id long, text string").repartition(4)
+    seen = set()
     for r in license_scan.scan_licenses(df, config=config).collect():
-        want = set(filter(None, base_scan(texts[r.doc_id])[4].split(",")))
-        for line in texts[r.doc_id].split("\n"):
-            have = set(line.split())
-            want |= {label for label, t in config.templates if len(have & set(t.split())) >= config.threshold * len(set(t.split())) - 1e-9}
-        assert r.labels == ",".join(sorted(want))
+        text = dict(enumerate(texts)).get(r.doc_id, "")
+        base, (labels, best) = base_scan(text), joined(license_scan.plain_words(text), config)
+        want = labels | set(filter(None, base[4].split(",")))
+        assert r.labels == ",".join(sorted(want)) and abs(r.score - (1.0 if base[1] else best)) < 1e-9
+        seen |= want
+    assert len(seen) > 12
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+    assert {r.labels for r in license_scan.scan_licenses(df.filter("text is null")).collect()} == {""}
+
+
+def test_license_words_that_repeat_without_end(spark):
+    text = "permission without fee granted software " * 20_000
+    (r,) = license_scan.scan_licenses(spark.createDataFrame([(1, text + license_scan.TEMPLATES[5].text)], "doc_id long, text string")).collect()
+    assert r.n_words == 100_000 + len(license_scan.plain_words(license_scan.TEMPLATES[5].text)) and r.labels == "isc" and r.score == 1.0
 
 
 GNU = "under the terms of the\n * GNU {}General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
@@ -141,9 +172,12 @@ WRAPPED = [
     ("Distributed under the CC\nBY-SA 4.0.", "cc-by-sa"),
     ("Redistribution and use in source or binary forms with or without modification are permitted", "bsd"),
     ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
-    ("This work is licensed under the GNU General\nPublic License, version 2.", ""),
+    ("This work is licensed under the GNU General\nPublic License, version 2.", "gpl-2"),
+    ("This work is licensed under the GNU General\nPublic License, any version.", ""),
     ("Licensed\nunder CC BY-NC 4.0.", "cc-by-nc"),
-    ("This work is licensed under the GNU Lesser General Public License, version 2.1", ""),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1", "lgpl-2"),
+    ("# Permission to use, copy, modify, and distribute this\n# software for any purpose with or without fee is hereby\n# granted, provided that the above copyright notice and\n# this permission notice appear in all copies.", "isc"),
+    ("This work is licensed under a\nCreative Commons Attribution-ShareAlike\n4.0 International License.", "cc-by-sa"),
     ("Permission is hereby granted. " + "Other words go between. " * 9 + "free of charge to any person obtaining a copy of this software", ""),
 ]
 
