@@ -395,7 +395,7 @@ def autoincrement_high_water(spark, sf_dir):
     return sequences.high_water(facts)
 
 
-@_query(_literal(fixtures.SEQUENCE_VERDICTS, 'sequence_oid, verdict, "table", "column", object').replace("select *", 'select cast(sequence_oid as bigint) as sequence_oid, verdict, "table", "column", object'))
+@_query(_literal([(*r, k) for k, r in enumerate(fixtures.SEQUENCE_VERDICTS, 1)], 'sequence_oid, verdict, "table", "column", object, pos').replace("select *", 'select cast(sequence_oid as bigint) as sequence_oid, verdict, "table", "column", object, pos'))
 def sequence_classify(spark, sf_dir):
     refs = gate.frame(spark, "sequence_refs", fixtures.SEQUENCE_REFS)
     return sequences.classify(refs, spark.createDataFrame(fixtures.COPIED, "oid bigint, name string"))
@@ -445,30 +445,39 @@ def topology_production(spark, sf_dir):
     return topology.production(targets, spark.createDataFrame(fixtures.TOPOLOGY, schema + ", production boolean"))
 
 
-def _catalog(spark: SparkSession) -> dict[str, DataFrame]:
-    return {n: spark.createDataFrame(rows, schema) for n, (schema, rows) in fixtures.CATALOG.items()}
+def _catalog(spark: SparkSession, version: int = catalog.LATEST) -> catalog.Catalog:
+    frames = {n: spark.createDataFrame(rows, schema) for n, (schema, rows) in fixtures.CATALOG.items()}
+    frames["pg_stat_archiver"] = frames["pg_stat_archiver"].select(*[F.to_timestamp(c).alias(c) for c in frames["pg_stat_archiver"].columns])
+    return catalog.Catalog(frames, tables=fixtures.CATALOG_TABLES, version=version, database="app", receipt=("ops", "receipt"), now=F.to_timestamp(F.lit(fixtures.CATALOG_NOW)))
 
 
-def _fact_query(name: str, expected: list[tuple], columns: str, flat: dict[str, str] | None = None) -> None:
-    """Register a fact relation; arrays and maps are written as text so that both engines agree."""
+#: Arrays and maps are written as text so that both engines agree.
+_FLAT = {"array<string>": "array_join(`{}`, ',')", "map<string,string>": "array_join(transform(map_entries(`{}`), x -> concat(x.key, '=', x.value)), ',')"}
+
+
+def _fact_query(name: str, fact: str, columns: str, expected: list[tuple], version: int) -> None:
+    """Register a fact relation."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = catalog.fact(spark, name, _catalog(spark), tables=fixtures.CATALOG_TABLES, database="app", receipt_schema="ops", receipt_table="receipt")
-        return df.select(*[F.expr((flat or {}).get(c.strip().strip('"'), f"cast(`{c.strip().strip(chr(34))}` as string)")).alias(c.strip().strip('"')) for c in columns.split(",")])
+        df = catalog.FACTS[fact](_catalog(spark, version))
+        kinds, names = dict(df.dtypes), [c.strip().strip('"') for c in columns.split(",")]
+        return df.select(*[F.expr(_FLAT.get(kinds[n], "cast(`{}` as string)").format(n)).alias(n) for n in names])
 
-    run.__name__ = f"catalog_{name}"
+    run.__name__ = name
     _query(_literal([tuple(None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r) for r in expected], columns))(run)
 
 
 for _name, (_columns, _expected) in fixtures.CATALOG_EXPECTED.items():
-    _fact_query(_name, _expected, _columns, {"columns": "array_join(columns, ',')", "ref_columns": "array_join(ref_columns, ',')"} if _name != "receipt_columns" else {"columns": "array_join(transform(map_entries(columns), x -> concat(x.key, '=', x.value)), ',')"})
+    _fact_query(f"catalog_{_name}", _name, _columns, _expected, catalog.LATEST)
+for _name, (_columns, _expected) in fixtures.CATALOG_EXPECTED_OLD.items():
+    _fact_query(f"catalog_{_name}_old", _name, _columns, _expected, fixtures.CATALOG_OLD)
 
 
 @_query(_literal([("items", "items_orders_fk"), ("items", "extra_fk")], '"table", name'))
 def foreign_keys_restored(spark, sf_dir):
     """Keys read again after a load, one of them changed and one new."""
-    before = catalog.fact(spark, "foreign_keys", _catalog(spark), tables=fixtures.CATALOG_TABLES)
-    changed = before.withColumn("confdeltype", F.when(F.col("name") == "items_orders_fk", "n").otherwise(F.col("confdeltype")))
+    before = catalog.foreign_keys(_catalog(spark))
+    changed = before.withColumn("confdeltype", F.when(F.col("name") == "items_orders_fk", "c").otherwise(F.col("confdeltype")))
     return constraints.changed_foreign_keys(before, changed.unionByName(before.filter("name = 'items_orders_fk'").withColumn("name", F.lit("extra_fk"))))
 
 

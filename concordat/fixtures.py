@@ -60,22 +60,26 @@ RESTARTS = [
 COPIED = [(1, "a"), (2, "b")]
 #: sequence_oid, schema, name, cycles, kind, table_oid, column
 SEQUENCE_REFS = [
-    (10, "public", "a_id_seq", False, "owner", 1, "id"),
+    (10, "public", "zulu_id_seq", False, "owner", 1, "id"),
     (11, "public", "loose_seq", False, "default", 1, "n"),
     (12, "public", "shared_seq", False, "owner", 1, "m"),
-    (12, "public", "shared_seq", False, "default", 2, "m"),
+    (12, "public", "shared_seq", False, "default", 2, "z"),
     (13, "public", "ring_seq", True, "owner", 2, "id"),
     (14, "public", "far_seq", False, "owner", 9, "id"),
     (15, "public", "self_seq", False, "owner", 2, "k"),
     (15, "public", "self_seq", False, "default", 2, "k"),
+    (16, "alpha", "late_seq", False, "default", 2, "b"),
+    (16, "alpha", "late_seq", False, "default", 9, "a"),
 ]
+#: The place is the first use in the order of kind, relation and column: a default comes before an owner.
 SEQUENCE_VERDICTS = [
-    (10, "usable", "a", "id", "public.a_id_seq"),
+    (16, "sequence-unowned", "b", "b", "alpha.late_seq"),
+    (14, "foreign", None, None, "public.far_seq"),
     (11, "sequence-unowned", "a", "n", "public.loose_seq"),
-    (12, "sequence-shared", "a", "m", "public.shared_seq"),
     (13, "sequence-cycles", "b", "id", "public.ring_seq"),
-    (14, "foreign", None, None, "public.far_seq"),
     (15, "usable", "b", "k", "public.self_seq"),
+    (12, "sequence-shared", "b", "z", "public.shared_seq"),
+    (10, "usable", "a", "id", "public.zulu_id_seq"),
 ]
 
 # --- the gate --------------------------------------------------------------------------------------
@@ -131,9 +135,10 @@ GATE_EXPECTED = [
     ("sequence-dynamic-default", "a", "id", None),
     ("sequence-dynamic-default", "other.x", "n", None),
     ("volatile-expression", "a", None, "a_check"),
+    ("sequence-unowned", "b", "b", "alpha.late_seq"),
     ("sequence-unowned", "a", "n", "public.loose_seq"),
-    ("sequence-shared", "a", "m", "public.shared_seq"),
     ("sequence-cycles", "b", "id", "public.ring_seq"),
+    ("sequence-shared", "b", "z", "public.shared_seq"),
     ("receipt-table-invalid", "concordat.receipt", None, "everything"),
     ("receipt-table-invalid", "concordat.receipt", None, None),
     ("archiver-failing", None, None, None),
@@ -239,66 +244,165 @@ TOPOLOGY_EXPECTED = [("db1", 5432, "71", "app", False), ("db1", 5432, "99", "app
 
 # --- a small system catalog --------------------------------------------------------------------------------
 
-CATALOG_TABLES = ["orders", "items", "nothing"]
+
+def _frame(schema: str, *rows: tuple) -> tuple[str, list[tuple]]:
+    return schema, list(rows)
+
+
+def _keyed(schema: str, *rows: dict) -> tuple[str, list[tuple]]:
+    """Rows by name; what a row does not name is null."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    return schema, [tuple(r.get(n) for n in names) for r in rows]
+
+
+_FALSE = {"relrowsecurity": False, "relispartition": False, "is_owner": True}
+_SOUND = {"convalidated": True, "conenforced": True, "condeferrable": False, "condeferred": False, "has_comment": False}
+_FK = _SOUND | {"contype": "f", "confrelid": 10, "conkey": [2, 1], "confkey": [2, 1], "confupdtype": "a", "confmatchtype": "s", "conindid": 20, "conpfeqop": "{98,410}"}
+_VOLATILE, _IMMUTABLE = "{FUNCEXPR :funcid 1598}", "{OPEXPR :opno 96 :opfuncid 66}"
+CATALOG_TABLES = ("orders", "items", "nothing")
+#: Of the relations, ``orders`` also exists in another schema, ``nothing`` is a view and ``part`` a piece of ``items``.
 CATALOG: dict[str, tuple[str, list[tuple]]] = {
-    "pg_namespace": ("oid bigint, nspname string", [(1, "public"), (2, "ops"), (3, "other")]),
-    "pg_class": (
+    "pg_namespace": _frame("oid bigint, nspname string, can_create boolean", (1, "public", True), (2, "ops", False), (3, "other", True), (4, "pg_catalog", False)),
+    "pg_class": _keyed(
         "oid bigint, relname string, relnamespace bigint, relkind string, relrowsecurity boolean, relispartition boolean, is_owner boolean",
-        [(10, "orders", 1, "r", False, False, True), (11, "items", 1, "p", True, False, False), (12, "orders", 3, "r", False, False, True), (13, "uncopied", 1, "r", False, False, True), (14, "nothing", 1, "v", False, False, True), (20, "orders_pkey", 1, "i", False, False, True), (21, "items_expr", 1, "i", False, False, True), (30, "orders_id_seq", 1, "S", False, False, True), (40, "receipt", 2, "r", False, False, True)],
-    ),
-    "pg_inherits": ("inhrelid bigint, inhparent bigint", [(13, 10)]),
-    "pg_attribute": (
-        "attrelid bigint, attname string, attnum int, attnotnull boolean, attisdropped boolean, attgenerated string, formatted string",
-        [(10, "id", 1, True, False, "", "bigint"), (10, "region", 2, True, False, "", "text"), (10, "old", 3, False, True, "", "text"), (10, "total", 4, False, False, "s", "bigint"), (11, "order_id", 1, True, False, "", "bigint"), (11, "order_region", 2, False, False, "", "text"), (11, "n", 3, False, False, "", "bigint"), (12, "id", 1, True, False, "", "bigint"), (13, "order_id", 1, True, False, "", "bigint"), (13, "region", 2, True, False, "", "text"), (40, "run_id", 1, True, False, "", "uuid"), (40, "per_table", 2, True, False, "", "jsonb")],
+        *[
+            _FALSE | {"oid": oid, "relname": name, "relnamespace": schema, "relkind": kind} | more
+            for oid, name, schema, kind, more in [
+                (10, "orders", 1, "r", {}),
+                (11, "items", 1, "p", {"relrowsecurity": True, "is_owner": False}),
+                (12, "orders", 3, "r", {}),
+                (13, "uncopied", 1, "r", {}),
+                (14, "nothing", 1, "v", {}),
+                (15, "part", 1, "r", {"relispartition": True}),
+                (16, "system_table", 4, "r", {"is_owner": False}),
+                (20, "orders_pkey", 1, "i", {}),
+                (21, "items_expr", 1, "i", {}),
+                (22, "uncopied_expr", 1, "i", {}),
+                (30, "orders_id_seq", 1, "S", {}),
+                (31, "far_seq", 3, "S", {}),
+                (40, "receipt", 2, "r", {}),
+            ]
+        ],
     ),
-    "pg_constraint": (
-        "oid bigint, conname string, conrelid bigint, contype string, conkey array<int>, confrelid bigint, confkey array<int>, definition string, convalidated boolean, conenforced boolean, confupdtype string, confdeltype string, confmatchtype string, condeferrable boolean, condeferred boolean, conindid bigint, has_comment boolean, tree string",
-        [
-            (50, "orders_pkey", 10, "p", [2, 1], None, None, "PRIMARY KEY (region, id)", True, True, None, None, None, False, False, 20, False, None),
-            (51, "items_orders_fk", 11, "f", [2, 1], 10, [2, 1], "FOREIGN KEY (order_region, order_id) REFERENCES orders", True, True, "a", "c", "s", False, False, 20, False, None),
-            (52, "uncopied_orders_fk", 13, "f", [2, 1], 10, [2, 1], "FOREIGN KEY (region, order_id) REFERENCES orders", False, True, "a", "a", "s", True, True, 20, True, None),
-            (53, "items_check", 11, "c", [3], None, None, "CHECK (n < random())", True, True, None, None, None, False, False, None, False, "{OPEXPR :opfuncid 66 :args ({FUNCEXPR :funcid 1598 :x})}"),
+    "pg_inherits": _frame("inhrelid bigint, inhparent bigint", (13, 10), (15, 11)),
+    "pg_attribute": _keyed(
+        "attrelid bigint, attname string, attnum int, attnotnull boolean, attisdropped boolean, attgenerated string, atttypid bigint, formatted string",
+        *[
+            {"attrelid": rel, "attname": name, "attnum": number, "attnotnull": filled, "attisdropped": False, "attgenerated": "", "atttypid": 20, "formatted": "bigint"} | more
+            for rel, name, number, filled, more in [
+                (10, "ctid", -1, True, {}),
+                (10, "id", 1, True, {}),
+                (10, "region", 2, True, {"formatted": "text"}),
+                (10, "old", 3, False, {"attisdropped": True}),
+                (10, "total", 4, False, {"attgenerated": "s"}),
+                (11, "order_id", 1, True, {}),
+                (11, "order_region", 2, False, {"formatted": "text"}),
+                (11, "n", 3, False, {"atttypid": 90, "formatted": "code"}),
+                (11, "m", 4, False, {"atttypid": 91, "formatted": "grade"}),
+                (12, "id", 1, True, {}),
+                (13, "order_id", 1, True, {}),
+                (13, "region", 2, True, {"formatted": "text"}),
+                (13, "c", 3, True, {"atttypid": 90, "formatted": "code"}),
+                (16, "n", 1, True, {}),
+                (40, "run_id", 1, True, {"formatted": "uuid"}),
+                (40, "per_table", 2, True, {"formatted": "jsonb"}),
+            ]
         ],
     ),
-    "pg_trigger": ("tgname string, tgrelid bigint, tgisinternal boolean", [("stamp", 10, False), ("RI_1", 11, True), ("elsewhere", 12, False)]),
-    "pg_rewrite": ("rulename string, ev_class bigint", [("redirect", 11), ("far", 12)]),
-    "pg_event_trigger": ("evtname string, evtenabled string", [("audit", "O"), ("off", "D")]),
-    "pg_publication_tables": ("pubname string, schemaname string, tablename string", [("feed", "public", "orders"), ("feed", "other", "orders"), ("feed", "public", "uncopied")]),
-    "pg_subscription": ("subdbid bigint", [(7,), (7,), (8,)]),
-    "pg_database": ("oid bigint, datname string", [(7, "app"), (8, "spare")]),
-    "pg_depend": ("classid string, objid bigint, refclassid string, refobjid bigint, refobjsubid int, deptype string", [("class", 30, "class", 10, 1, "a"), ("attrdef", 60, "class", 30, 0, "n"), ("attrdef", 61, "class", 30, 0, "n")]),
-    "pg_attrdef": (
+    "pg_type": _frame("oid bigint, typname string, typtype string", (20, "int8", "b"), (90, "code", "d"), (91, "grade", "d")),
+    "pg_constraint": _keyed(
+        "oid bigint, conname string, conrelid bigint, contypid bigint, contype string, conkey array<int>, confrelid bigint, confkey array<int>, conpfeqop string, confdelsetcols string, definition string, convalidated boolean, conenforced boolean, confupdtype string, confdeltype string, confmatchtype string, condeferrable boolean, condeferred boolean, conindid bigint, has_comment boolean, tree string",
+        _SOUND | {"oid": 50, "conname": "orders_pkey", "conrelid": 10, "contype": "p", "conkey": [2, 1], "definition": "PRIMARY KEY (region, id)", "conindid": 20},
+        _FK | {"oid": 51, "conname": "items_orders_fk", "conrelid": 11, "confdeltype": "n", "confdelsetcols": "{1}", "definition": "FOREIGN KEY (order_region, order_id) REFERENCES orders(region, id) ON DELETE SET NULL (order_id)"},
+        _FK | {"oid": 52, "conname": "uncopied_orders_fk", "conrelid": 13, "confdeltype": "a", "definition": "FOREIGN KEY (region, order_id) REFERENCES orders(region, id) NOT VALID", "convalidated": False, "conenforced": False, "condeferrable": True, "condeferred": True, "has_comment": True},
+        _FK | {"oid": 56, "conname": "uncopied_self_fk", "conrelid": 13, "confrelid": 13, "confdeltype": "a", "definition": "FOREIGN KEY (region, order_id) REFERENCES uncopied(region, order_id)"},
+        _SOUND | {"oid": 53, "conname": "items_check", "conrelid": 11, "contype": "c", "conkey": [3], "definition": "CHECK (n < random())", "tree": "{OPEXPR :opfuncid 66 :args (" + _VOLATILE + ")}"},
+        _SOUND | {"oid": 57, "conname": "orders_check", "conrelid": 10, "contype": "c", "conkey": [1], "definition": "CHECK (id > 0)", "tree": _IMMUTABLE},
+        _SOUND | {"oid": 54, "conname": "code_check", "conrelid": 0, "contypid": 90, "contype": "c", "definition": "CHECK (VALUE > random())", "tree": _VOLATILE},
+        _SOUND | {"oid": 55, "conname": "grade_check", "conrelid": 0, "contypid": 91, "contype": "c", "definition": "CHECK (VALUE > 0)", "tree": _IMMUTABLE},
+        _SOUND | {"oid": 58, "conname": "receipt_pkey", "conrelid": 40, "contype": "p", "conkey": [1], "definition": "PRIMARY KEY (run_id)"},
+    ),
+    "pg_trigger": _frame("tgname string, tgrelid bigint, tgisinternal boolean", ("stamp", 10, False), ("RI_1", 11, True), ("elsewhere", 12, False), ("watch", 40, False)),
+    "pg_rewrite": _frame("rulename string, ev_class bigint", ("redirect", 11), ("far", 12), ("_RETURN", 14)),
+    "pg_event_trigger": _frame("evtname string, evtenabled string", ("audit", "O"), ("off", "D")),
+    "pg_publication": _frame("oid bigint, pubname string, puballtables boolean", (70, "feed", False), (71, "everything", True), (72, "by_schema", False), (73, "other_schema", False)),
+    "pg_publication_namespace": _frame("pnpubid bigint, pnnspid bigint", (72, 2), (73, 3)),
+    "pg_publication_tables": _frame("pubname string, schemaname string, tablename string", ("feed", "public", "orders"), ("feed", "other", "orders"), ("feed", "public", "uncopied"), ("by_schema", "ops", "receipt")),
+    "pg_subscription": _frame("subdbid bigint", (7,), (7,), (8,)),
+    "pg_database": _frame("oid bigint, datname string, can_create boolean", (7, "app", True), (8, "spare", False)),
+    "pg_depend": _frame(
+        "classid string, objid bigint, refclassid string, refobjid bigint, refobjsubid int, deptype string",
+        ("class", 30, "class", 10, 1, "a"),
+        ("attrdef", 60, "class", 30, 0, "n"),
+        ("attrdef", 61, "class", 30, 0, "n"),
+        ("attrdef", 64, "class", 31, 0, "a"),  # not a use: the default itself hangs on something
+        ("class", 31, "class", 12, 1, "a"),
+        ("class", 31, "class", 3, 0, "n"),
+    ),
+    "pg_attrdef": _frame(
         "oid bigint, adrelid bigint, adnum int, expr string, tree string",
-        [(60, 10, 1, "nextval('orders_id_seq'::regclass)", ""), (61, 13, 1, "nextval('orders_id_seq'::regclass)", ""), (62, 11, 3, "NEXTVAL(('orders' || '_id_seq')::text)", ""), (63, 10, 4, "(id * 2)", "{OPEXPR :opfuncid 66}")],
+        (60, 10, 1, "nextval('orders_id_seq'::regclass)", ""),
+        (61, 13, 1, "nextval('orders_id_seq'::regclass)", ""),
+        (62, 11, 3, "NEXTVAL(('orders' || '_id_seq')::text)", ""),
+        (63, 10, 4, "(id * 2)", _IMMUTABLE),
+        (64, 12, 1, "nextval('far_seq'::text::regclass)", ""),
+        (65, 16, 1, "nextval('hidden')", ""),
+    ),
+    "pg_sequence": _frame("seqrelid bigint, seqstart bigint, seqincrement bigint, seqmin bigint, seqmax bigint, seqcycle boolean", (30, 1, 1, 1, (1 << 63) - 1, False), (31, 5, -1, -9, 9, True)),
+    "pg_index": _frame("indexrelid bigint, indrelid bigint, exprs_tree string, pred_tree string", (20, 10, None, None), (21, 11, None, _VOLATILE), (22, 13, _VOLATILE, None)),
+    "pg_proc": _frame("oid bigint, provolatile string", (66, "i"), (1598, "v"), (96, "v")),
+    "pg_stat_archiver": _frame("last_failed_time string, last_archived_time string", ("2031-05-06 07:50:00", "2031-05-06 07:58:00")),
+    "pg_replication_slots": _frame("slot_name string, current_lsn bigint, restart_lsn bigint", ("a", 500, 100), ("b", 500, None)),
+    "tables": _frame("table_schema string, table_name string, table_type string", ("public", "orders", "BASE TABLE"), ("public", "bare", "BASE TABLE"), ("public", "seen", "VIEW"), ("other", "orders", "BASE TABLE")),
+    "columns": _frame(
+        "table_schema string, table_name string, column_name string, data_type string, is_generated string, character_maximum_length int, ordinal_position int",
+        ("public", "orders", "id", "bigint", "NEVER", None, 1),
+        ("public", "orders", "code", "character varying", "NEVER", 5, 2),
+        ("public", "orders", "total", "bigint", "ALWAYS", None, 3),
     ),
-    "pg_sequence": ("seqrelid bigint, seqstart bigint, seqincrement bigint, seqmin bigint, seqmax bigint, seqcycle boolean", [(30, 1, 1, 1, (1 << 63) - 1, False)]),
-    "pg_index": ("indexrelid bigint, indrelid bigint, exprs_tree string, pred_tree string", [(20, 10, None, None), (21, 11, "{FUNCEXPR :funcid 1598}", "{FUNCEXPR :funcid 66}")]),
-    "pg_proc": ("oid bigint, provolatile string", [(66, "i"), (1598, "v")]),
-    "pg_stat_archiver": ("last_failed_time timestamp, last_archived_time timestamp", [(None, None)]),
-    "pg_replication_slots": ("slot_name string, current_lsn bigint, restart_lsn bigint", [("a", 500, 100), ("b", 500, None)]),
-    "tables": ("table_schema string, table_name string, table_type string", [("public", "orders", "BASE TABLE"), ("public", "bare", "BASE TABLE"), ("public", "seen", "VIEW"), ("other", "orders", "BASE TABLE")]),
-    "columns": ("table_schema string, table_name string, column_name string, data_type string, is_generated string, character_maximum_length int, ordinal_position int", [("public", "orders", "id", "bigint", "NEVER", None, 1), ("public", "orders", "code", "character varying", "NEVER", 5, 2), ("public", "orders", "total", "bigint", "ALWAYS", None, 3)]),
-    "foreign_keys": ("table_schema string, table string, ref_schema string, ref_table string", [("public", "items", "public", "orders"), ("other", "x", "public", "items")]),
 }
+#: The server's time at which the facts are read.
+CATALOG_NOW = "2031-05-06 08:00:00"
+_FK_COLUMNS = 'oid, name, table_oid, table_schema, "table", ref_oid, ref_schema, ref_table, definition, validated, enforced, conkey, confkey, columns, ref_columns, conpfeqop, confdelsetcols, confupdtype, confdeltype, confmatchtype, "deferrable", "deferred", index_name, has_comment'
 #: Columns and rows that each fact has for ``CATALOG_TABLES`` of the schema ``public``.
 CATALOG_EXPECTED: dict[str, tuple[str, list[tuple]]] = {
-    "tables": ("name, kind, row_security, inherits, has_children, is_owner", [("items", "p", True, False, False, False), ("orders", "r", False, False, True, True)]),
-    "columns": ('"table", "column", not_null', [("items", "order_id", True), ("items", "order_region", False), ("items", "n", False), ("orders", "id", True), ("orders", "region", True), ("orders", "total", False)]),
+    "tables": (
+        "oid, name, kind, row_security, is_partition, inherits, has_children, is_owner",
+        [(11, "items", "p", True, False, False, True, False), (14, "nothing", "v", False, False, False, False, True), (10, "orders", "r", False, False, False, True, True)],
+    ),
+    "columns": ('"table", "column", not_null', [("orders", "id", True), ("orders", "region", True), ("orders", "total", False), ("items", "order_id", True), ("items", "order_region", False), ("items", "n", False), ("items", "m", False)]),
     "primary_keys": ('"table", columns', [("orders", "region,id")]),
     "triggers": ('"table", name', [("orders", "stamp")]),
-    "rules": ('"table", name', [("items", "redirect")]),
-    "foreign_keys": ('name, table_schema, "table", ref_table, columns, ref_columns, validated, "deferrable", index_name, has_comment', [("items_orders_fk", "public", "items", "orders", "order_region,order_id", "region,id", True, False, "orders_pkey", False), ("uncopied_orders_fk", "public", "uncopied", "orders", "region,order_id", "region,id", False, True, "orders_pkey", True)]),
-    "event_triggers": ("name", [("audit",)]),
+    "rules": ('"table", name', [("items", "redirect"), ("nothing", "_RETURN")]),
+    "foreign_keys": (
+        _FK_COLUMNS,
+        [
+            (51, "items_orders_fk", 11, "public", "items", 10, "public", "orders", "FOREIGN KEY (order_region, order_id) REFERENCES orders(region, id) ON DELETE SET NULL (order_id)", True, True, "{2,1}", "{2,1}", "order_region,order_id", "region,id", "{98,410}", "{1}", "a", "n", "s", False, False, "orders_pkey", False),
+            (52, "uncopied_orders_fk", 13, "public", "uncopied", 10, "public", "orders", "FOREIGN KEY (region, order_id) REFERENCES orders(region, id) NOT VALID", False, False, "{2,1}", "{2,1}", "region,order_id", "region,id", "{98,410}", None, "a", "a", "s", True, True, "orders_pkey", True),
+        ],
+    ),
+    "event_triggers": ("name", [("audit",), ("off",)]),
     "publications": ('publication, "table"', [("feed", "orders")]),
     "subscription_count": ("n", [(2,)]),
-    "sequence_refs": ('schema, name, increment, cycles, kind, table_oid, "column"', [("public", "orders_id_seq", 1, False, "owner", 10, "id"), ("public", "orders_id_seq", 1, False, "default", 10, "id"), ("public", "orders_id_seq", 1, False, "default", 13, "order_id")]),
-    "dynamic_sequence_defaults": ('schema, "table", "column"', [("public", "items", "n")]),
-    "volatile_expressions": ('"table", object', [("items", "items_check"), ("items", "items_expr")]),
+    "sequence_refs": (
+        'sequence_oid, schema, name, start, increment, min, max, cycles, kind, table_oid, "column"',
+        [(30, "public", "orders_id_seq", 1, 1, 1, (1 << 63) - 1, False, kind, rel, column) for kind, rel, column in (("default", 10, "id"), ("default", 13, "order_id"), ("owner", 10, "id"))],
+    ),
+    "dynamic_sequence_defaults": ('schema, "table", "column"', [("other", "orders", "id"), ("public", "items", "n")]),
+    "volatile_expressions": ('"table", object', [("items", "code"), ("items", "items_check"), ("items", "items_expr")]),
+    "adopting_publications": ("publication", [("by_schema",), ("everything",)]),
     "receipt_columns": ("columns", [("per_table=jsonb,run_id=uuid",)]),
-    "archiver": ("failing", [(False,)]),
+    "receipt": ('"exists", kind, is_owner, row_security, has_trigger, has_rule, published, columns, primary_key, can_create', [(True, "r", True, False, True, False, True, "per_table=jsonb,run_id=uuid", "run_id", False)]),
+    "archiver": ("failing", [(True,)]),
     "slots": ("name, retained_bytes", [("a", 400)]),
     "introspected": ('"table", "column", type, generated, max_length', [("bare", None, None, False, None), ("orders", "id", "bigint", False, None), ("orders", "code", "character varying", False, 5), ("orders", "total", "bigint", True, None)]),
-    "lock_set": ('schema, "table"', [("other", "x"), ("public", "items"), ("public", "nothing"), ("public", "orders")]),
+    "lock_set": ('schema, "table"', [("public", "items"), ("public", "nothing"), ("public", "orders"), ("public", "uncopied")]),
+}
+#: What the same server would say if it were older: no unenforced keys, no columns of SET NULL, no publications of schemas.
+CATALOG_OLD = 140_000
+CATALOG_EXPECTED_OLD: dict[str, tuple[str, list[tuple]]] = {
+    "foreign_keys": ("name, enforced, confdelsetcols", [("items_orders_fk", True, None), ("uncopied_orders_fk", True, None)]),
+    "adopting_publications": ("publication", [("everything",)]),
 }
 
 # --- text of schemas ---------------------------------------------------------------------------------------

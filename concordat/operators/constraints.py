@@ -16,10 +16,9 @@ KEY = ("table_schema", "table", "name")
 
 
 def changed_foreign_keys(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``(table, name)`` of keys that are gone, new or differ in any field that both frames have."""
-    fields = [f for f in FIELDS if f in before.columns and f in after.columns]
-    a = before.select(*KEY, F.struct(*fields).alias("was"), F.lit(True).alias("in_a"))
-    b = after.select(*[F.col(k).alias(f"b_{k}") for k in KEY], F.struct(*fields).alias("now"), F.lit(True).alias("in_b"))
+    """``(table, name)`` of keys that are gone, new or differ in any of the fields."""
+    a = before.select(*KEY, F.struct(*FIELDS).alias("was"), F.lit(True).alias("in_a"))
+    b = after.select(*[F.col(k).alias(f"b_{k}") for k in KEY], F.struct(*FIELDS).alias("now"), F.lit(True).alias("in_b"))
     on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"b_{k}") for k in KEY])
     same = F.col("in_a").eqNullSafe(F.col("in_b")) & F.col("was").eqNullSafe(F.col("now"))
     return a.join(b, on, "full_outer").filter(~same).select(F.coalesce("table", "b_table").alias("table"), F.coalesce("name", "b_name").alias("name"))

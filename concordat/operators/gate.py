@@ -130,7 +130,7 @@ def evaluate(
     """All refusals as ``(code, table, column, object, ord)``. ``shape_only`` leaves out what matters for a
     side that is written; a source need not be owned."""
     frames = {n: placed(facts[n]) if n in facts else frame(spark, n) for n in FRAMES} | manifest_frames(spark, manifest)
-    frames["sequences"] = classify(frames["sequence_refs"], frames["tables"].select("oid", "name")).withColumn("pos", F.col("sequence_oid"))
+    frames["sequences"] = classify(frames["sequence_refs"], frames["tables"].select("oid", "name"))
     given = {"truncate": truncate, "slot_bytes": slot_bytes, "schema": schema, "owned": owned, "skipped_may_refer": skipped_may_refer, "receipt_table": RECEIPT_TABLE, "receipt_columns": RECEIPT_COLUMNS, "receipt_key": RECEIPT_KEY}
     parts = []
     for k, text in enumerate(SHAPE + ([] if shape_only else WRITE)):

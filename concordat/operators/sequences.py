@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,20 +37,23 @@ def high_water(facts: DataFrame) -> DataFrame:
 
 def classify(refs: DataFrame, copied: DataFrame) -> DataFrame:
     """One row for each sequence of ``refs (sequence_oid, schema, name, cycles, kind, table_oid, column)``:
-    ``verdict`` is ``sequence-unowned``, ``sequence-shared``, ``sequence-cycles``, ``usable`` or ``foreign``."""
-    tables = F.broadcast(copied.select(F.col("oid").alias("table_oid"), F.col("name").alias("copied_as")))
-    marked = refs.join(tables, "table_oid", "left")
+    ``verdict`` is ``sequence-unowned``, ``sequence-shared``, ``sequence-cycles``, ``usable`` or ``foreign``. The table
+    and column are those of the first use by a copied table, in the order of kind, relation and column;
+    ``pos`` numbers sequences by schema and name."""
+    marked = refs.join(copied.select(F.col("oid").alias("table_oid"), F.col("name").alias("copied_as")), "table_oid", "left")
     owner = F.col("kind") == "owner"
     place = F.struct("table_oid", "column")
     grouped = marked.groupBy("sequence_oid").agg(
-        F.min(F.concat("schema", F.lit("."), "name")).alias("object"),
+        F.min("schema").alias("schema"),
+        F.min("name").alias("name"),
         F.bool_or("cycles").alias("cycles"),
         F.count_if(owner).alias("owners"),
         F.collect_set(F.when(owner, place)).alias("owned_by"),
         F.collect_set(F.when(~owner, place)).alias("used_by"),
         F.bool_or(owner & F.col("copied_as").isNotNull()).alias("copied_owner"),
-        F.min(F.when(F.col("copied_as").isNotNull(), F.struct("copied_as", "column"))).alias("used"),
+        F.min(F.when(F.col("copied_as").isNotNull(), F.struct("kind", "table_oid", "column", "copied_as"))).alias("used"),
     )
     shared = (F.col("owners") > 1) | (F.size(F.array_except("used_by", "owned_by")) > 0)
     verdict = F.when(F.col("owners") == 0, "sequence-unowned").when(shared, "sequence-shared").when(F.col("cycles"), "sequence-cycles").when(F.col("copied_owner"), "usable").otherwise("foreign")
-    return grouped.select("sequence_oid", verdict.alias("verdict"), F.col("used.copied_as").alias("table"), F.col("used.column").alias("column"), "object")
+    pos = F.row_number().over(Window.orderBy("schema", "name", "sequence_oid"))  # a database has few sequences
+    return grouped.select("sequence_oid", verdict.alias("verdict"), F.col("used.copied_as").alias("table"), F.col("used.column").alias("column"), F.concat("schema", F.lit("."), "name").alias("object"), pos.alias("pos"))
