@@ -6,25 +6,29 @@ exact piece hit. One automaton finds the hits of all pieces in a text; the place
 are verified with Myers' bit-parallel edit distance of the whole item.
 
 The items go to the workers in blocks of at most ``block_chars`` characters, whatever the size of the
-benchmark, and every block is matched against all documents.
+benchmark, and every block is matched against all documents. The driver holds one block at a time: if
+there are several, what a block finds is written before the next one is read.
 
 Defined results: texts and items are lower-cased and their white space is collapsed; positions are
-places in that form. Null, empty or very short items (fewer than ``min_chars`` characters) match
-nothing; null texts hold nothing; repeated rows are reported for each row; a document and an item
-give one row, that of the smallest distance, the leftmost one on ties; an item id that is null or
-repeats is reported as it is.
+places in that form. Null and empty items match nothing. Items of fewer than ``min_chars`` characters
+are searched without edits and as whole words; ``drop_leaks`` leaves them out, since clean text holds a
+short answer by chance. Null texts hold nothing; repeated rows are reported for each row; a document
+and an item give one row, that of the smallest distance, the leftmost one on ties; an item id that is
+null or repeats is reported as it is; an empty table of documents or items gives no row and drops none;
+texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import tidy
+from concordat.llm.common import Scratch, tidy
 
 
 @dataclass(frozen=True)
@@ -34,7 +38,7 @@ class MatchConfig:
     block_chars: int = 8_000_000
 
     def budget(self, length: int) -> int:
-        return length * self.error_percent // 100
+        return length * self.error_percent // 100 if length >= self.min_chars else 0
 
 
 def normal(text: str | None) -> str:
@@ -79,19 +83,28 @@ def myers(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int
     return (best, end) if end >= 0 else None
 
 
+def whole_words(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on beyond either end of a passage."""
+    before = begin > 0 and text[begin - 1].isalnum() and text[begin].isalnum()
+    after = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not (before or after)
+
+
 class Matcher:
     """All pieces of one block of items in an automaton."""
 
     def __init__(self, items: list[tuple[int | None, str]], config: MatchConfig):
         import ahocorasick
 
-        self.items = []
+        self.items: list[tuple] = []
+        self.short: list[bool] = []
         self.automaton = ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for name, text in items:
             budget = config.budget(len(text))
             number = len(self.items)
             self.items.append((name, text, budget, masks(text)))
+            self.short.append(len(text) < config.min_chars)
             for place, piece in pieces(text, budget):
                 owners.setdefault(piece, []).append((number, place))
         for piece, where in owners.items():
@@ -103,6 +116,8 @@ class Matcher:
         found: dict[int, set[int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for number, place in where:
+                if self.short[number] and not whole_words(text, end + 1 - length, end + 1):
+                    continue
                 found.setdefault(number, set()).add(end + 1 - length - place)
         return {number: sorted(starts) for number, starts in found.items()}
 
@@ -128,12 +143,12 @@ class Matcher:
         return next(iter(self.matches(text)), None) is not None
 
 
-def blocks(benchmark: DataFrame, config: MatchConfig, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, streamed to the driver in blocks of bounded size."""
+def blocks(benchmark: DataFrame, config: MatchConfig, item_col: str, text_col: str, least: int = 1) -> Iterator[list[tuple[int | None, str]]]:
+    """The items of at least so many characters, streamed to the driver in blocks of bounded size."""
     block, size = [], 0
     for name, text in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator():
         text = normal(text)
-        if len(text) < config.min_chars:
+        if len(text) < least:
             continue
         if block and size + len(text) > config.block_chars:
             yield block
@@ -163,10 +178,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    found = docs.sparkSession.createDataFrame([], out)
+    scratch, parts, held = Scratch(docs.sparkSession, "leaks"), [], None
     for items in blocks(benchmark, config, item_col, item_text_col):
-        found = found.union(slim.mapInArrow(tidy(over(items)), out))
-    return found
+        if held:
+            parts.append(scratch.write(slim.mapInArrow(tidy(over(held)), out), f"block-{len(parts)}"))
+        held = items
+    if held:
+        parts.append(slim.mapInArrow(tidy(over(held)), out))
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], out)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -183,6 +202,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return judge(F.col(text_col))
 
-    for items in blocks(benchmark, config, item_col, item_text_col):
-        docs = docs.filter(clean(items))
-    return docs
+    scratch, held, n = Scratch(docs.sparkSession, "clean"), None, 0
+    for items in blocks(benchmark, config, item_col, item_text_col, config.min_chars):
+        if held:
+            docs, n = scratch.write(docs.filter(clean(held)), f"block-{n}"), n + 1
+        held = items
+    return docs.filter(clean(held)) if held else docs
