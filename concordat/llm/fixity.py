@@ -7,7 +7,9 @@ audit compares the roots and goes down only into branches whose hashes differ, u
 damaged ranges; records are compared in those alone.
 
 Files get records by the hash of the record, and an offset range holds a bounded number of bytes, so
-neither a hot host nor repeated rows make a large group. All hashing is done by Spark functions.
+neither a hot host nor repeated rows make a large group; records that the manifest does not know share
+ranges of some hundred. Both replicas go through the same aggregations, told apart by a mark. All
+hashing is done by Spark functions.
 
 Defined results: null URLs and null pages are empty ones, null ids sort last and match each other;
 rows that repeat in id, URL and content are one record with a number of copies; different contents
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import Scratch
+from concordat.operators.keys import binary_order
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class FixityConfig:
     records_per_file: int = 20_000
     range_bytes: int = 1 << 18
     fanout: int = 16
+    strays: int = 256
 
 
 KEY = ["id", "url", "version"]
@@ -44,12 +48,18 @@ def warc_record(url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, version, digest, length, copies)`` of a replica."""
+    """``(id, url, version, digest, length, copies)`` of a replica. Versions are counted from places in one
+    order of all records, so that any number of them under one id and URL is dealt over many tasks."""
+    scratch = Scratch(pages.sparkSession, "records")
     url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     raw = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), warc_record(url, html).alias("raw"))
     each = raw.select("id", "url", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").cast("long").alias("length"))
     one = each.groupBy("id", "url", "digest", "length").agg(F.count("*").alias("copies"))
-    return one.withColumn("version", F.row_number().over(Window.partitionBy("id", "url").orderBy("digest")))
+    placed = scratch.write(binary_order(one, F.struct("id", "url", "digest"), "place"), "placed")
+    several = placed.groupBy("id", "url").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "url", "first")
+    several = scratch.write(several, "several")
+    version = F.coalesce(F.col("place") - F.col("first") + 1, F.lit(1)).cast("int")
+    return _same(placed, several, ["id", "url"], "left").select("id", "url", version.alias("version"), "digest", "length", "copies")
 
 
 def _drawn(files: int) -> Column:
@@ -74,46 +84,57 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
     return a.join(right, on, how)
 
 
-def _parents(nodes: DataFrame, config: FixityConfig) -> DataFrame:
-    kids = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    return nodes.groupBy(F.expr(f"node div {config.fanout}").alias("node")).agg(F.sha2(F.array_join(F.transform(kids, lambda k: k["hash"]), ""), 256).alias("hash"))
+def _joined_hash(parts: Column, between: str) -> Column:
+    return F.sha2(F.array_join(parts, between), 256).alias("hash")
 
 
 def _ranges(leaves: DataFrame) -> DataFrame:
+    """``(node, side, hash)`` of the offset ranges of both replicas."""
     kids = F.array_sort(F.collect_list(F.struct("offset", "digest", "copies")))
-    return leaves.groupBy("node").agg(F.sha2(F.array_join(F.transform(kids, lambda k: F.concat(k["digest"], F.lit(":"), k["copies"].cast("string"))), ";"), 256).alias("hash"))
+    return leaves.groupBy("node", "side").agg(_joined_hash(F.transform(kids, lambda k: F.concat(k["digest"], F.lit(":"), k["copies"].cast("string"))), ";"))
+
+
+def _parents(nodes: DataFrame, config: FixityConfig) -> DataFrame:
+    kids = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    return nodes.groupBy(F.expr(f"node div {config.fanout}").alias("node"), "side").agg(_joined_hash(F.transform(kids, lambda k: k["hash"]), ""))
 
 
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    other = b.withColumnRenamed("hash", "other")
-    return a.join(other, "node", "full_outer").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
+def _differing(nodes: DataFrame) -> DataFrame:
+    """The nodes that the replicas do not have alike."""
+    first, second = (F.max(F.when(F.col("side") == k, F.col("hash"))) for k in (0, 1))
+    return nodes.groupBy("node").agg(first.alias("a"), second.alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
 
 
 def audit(reference: DataFrame, replica: DataFrame, config: FixityConfig = FixityConfig(), **columns: str) -> DataFrame:
     """One row per damaged record: id, URL, version, file, offset and length of its place, ``kind``
     (``changed``, ``missing``, ``extra``) and both hashes. Equal replicas give no row."""
     scratch = Scratch(reference.sparkSession, "fixity")
-    placed = scratch.write(manifest(records(reference, **columns), config), "manifest")
-    spans = (placed.agg(F.max("span")).first()[0] or 0) + 1
-    node = (F.col("file") * spans + F.col("span")).alias("node")
-    left = placed.select(*KEY, node, "file", "offset", "length", "digest", "copies")
-    found = _same(records(replica, **columns).drop("length"), placed.select(*KEY, "file", "span", "offset"), KEY, "left")
-    # A record without a place hashes into the first range of a file of its own choice.
-    stray = _drawn((placed.agg(F.max("file")).first()[0] or 0) + 1)
-    right = found.select(*KEY, F.coalesce(F.col("file") * spans + F.col("span"), stray * spans).alias("node"), F.coalesce("offset", F.lit(-1)).alias("offset"), "digest", "copies")
-    right = scratch.write(right, "replica")
-
-    levels = [(scratch.write(_ranges(left), "left-0"), scratch.write(_ranges(right), "right-0"))]
-    most = max((df.agg(F.max("node")).first()[0] or 0) for df in levels[0])
+    placed = scratch.write(manifest(scratch.write(records(reference, **columns), "reference"), config), "manifest")
+    ends = placed.agg(F.max("span").alias("span"), F.max("file").alias("file")).first()
+    spans = (ends.span or 0) + 1
+    ranges = spans * ((ends.file or 0) + 1)
+    node = F.col("file") * spans + F.col("span")
+    left = placed.select(*KEY, node.alias("node"), "file", "offset", "length", "digest", "copies")
+    found = scratch.write(_same(records(replica, **columns).drop("length"), placed.select(*KEY, "file", "span", "offset"), KEY, "left"), "found")
+    # Records without a place share ranges of their own behind all others, some hundred of them in each.
+    groups = max(1, math.ceil(found.filter("file is null").count() / config.strays))
+    stray = ranges + _drawn(groups)
+    right = found.select(*KEY, F.coalesce(node, stray).alias("node"), F.coalesce("offset", F.lit(-1)).alias("offset"), "digest", "copies")
+
+    leaf = ["node", "offset", "digest", "copies"]
+    both = left.select(*leaf, F.lit(0).alias("side")).unionByName(right.select(*leaf, F.lit(1).alias("side")))
+    levels = [scratch.write(_ranges(both), "level-0")]
+    most = ranges + groups - 1
     while most > 0:
-        k, most = len(levels), most // config.fanout
-        levels.append((scratch.write(_parents(levels[-1][0], config), f"left-{k}"), scratch.write(_parents(levels[-1][1], config), f"right-{k}")))
+        most //= config.fanout
+        levels.append(scratch.write(_parents(levels[-1], config), f"level-{len(levels)}"))
 
-    differing = _differing(*levels[-1])
-    for a, b in reversed(levels[:-1]):
+    differing = scratch.write(_differing(levels[-1]), "differing")
+    if differing.isEmpty():  # equal roots
+        levels = levels[-1:]
+    for level in reversed(levels[:-1]):
         above = differing.select(F.col("node").alias("parent"))
-        down = [x.withColumn("parent", F.expr(f"node div {config.fanout}")).join(above, "parent", "left_semi").drop("parent") for x in (a, b)]
-        differing = _differing(*down)
+        differing = _differing(level.withColumn("parent", F.expr(f"node div {config.fanout}")).join(above, "parent", "left_semi"))
     differing = scratch.write(differing, "damaged")
 
     mine = left.join(differing, "node", "left_semi").drop("node")
