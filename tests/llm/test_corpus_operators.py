@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,19 +181,25 @@ def test_leaks_against_brute_force(spark):
             body[at : at + draw.randint(0, 1)] = draw.choice(["", "q", "zz"])
         texts.append("Lead  in\n" + "".join(body).upper() + " and\tout " + "".join(draw.choices("abc ", k=80)))
     docs = [(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[0], "x"), (900, None, "x"), (901, "", "x")]
-    bench = list(enumerate(items)) + [(50, None), (51, "short"), (52, ""), (None, items[0])]
+    bench = list(enumerate(items)) + [(50, None), (51, "lead in"), (52, ""), (53, "ead i"), (None, items[0])]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     config = decontamination.MatchConfig(block_chars=400)
     found = {(r.doc_id, r.item_id): r.distance for r in decontamination.find_leaks(df, spark.createDataFrame(bench, "item_id long, text string"), config=config).collect()}
     want = {}
     for i, t, _ in docs:
         for j, x in bench:
-            x = decontamination.normal(x)
-            if len(x) >= config.min_chars and (d := edit(x, decontamination.normal(t))) <= config.budget(len(x)):
+            x, t_ = decontamination.normal(x), decontamination.normal(t)
+            if len(x) < config.min_chars:
+                if x and re.search(rf"(?<!\w){re.escape(x)}(?!\w)", t_):
+                    want[i, j] = 0
+            elif (d := edit(x, t_)) <= config.budget(len(x)):
                 want[i, j] = d
-    assert found == want and len(want) > 20
+    assert found == want and len(want) > 20 and any(j == 51 for _, j in want) and not any(j == 53 for _, j in want)
     kept = decontamination.drop_leaks(df, spark.createDataFrame(bench, "item_id long, text string"), config=config)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in docs} - {i for i, _ in want}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in docs} - {i for i, j in want if j not in (51, 53)}
+    (long_hit,) = decontamination.find_leaks(spark.createDataFrame([(1, "word " * 60_000 + items[3])], EMPTY), spark.createDataFrame(bench, "item_id long, text string")).filter("item_id = 3").collect()
+    assert long_hit.distance == 0 and long_hit.end_char == 300_000 + len(items[3])
+    assert decontamination.find_leaks(df.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(df, none).count() == 0 and decontamination.drop_leaks(df, none).count() == len(docs)
 
@@ -384,6 +391,10 @@ def test_fixity(spark):
     b = b.union(spark.createDataFrame([(999, "http://new", "n", "x")], a.schema)).union(a.filter("page_id = 44"))
     found = {(r.id, r.kind) for r in fixity.audit(a, b, config).collect()}
     assert found == {(11, "missing"), (33, "changed"), (999, "extra"), (44, "changed")}
+    many = a.unionByName(spark.createDataFrame([(None, None, f"version {k}", "x") for k in range(700)], a.schema))  # one id and URL
+    assert fixity.audit(many, many.repartition(5), config).count() == 0
+    lost = fixity.audit(many, many.filter("html is null or html <> 'version 5'"), config).collect()
+    assert {r.kind for r in lost} == {"missing", "changed"} and all(r.id is None for r in lost)
     none = a.limit(0)
     assert fixity.audit(none, none, config).count() == 0
     assert {r.kind for r in fixity.audit(none, a, config).collect()} == {"extra"} and {r.kind for r in fixity.audit(a, none, config).collect()} == {"missing"}
