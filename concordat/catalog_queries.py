@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from concordat import fixtures
 from concordat.errors import describe_refusal
 from concordat.functions import cells, codecs, expressions
-from concordat.functions.encoding import bucketed_digest, load_line, row_digest, table_digest
+from concordat.functions.encoding import load_line, row_digest, table_digest
 from concordat.manifest import ColumnSpec, parse_manifest
 from concordat.operators import catalog, constraints, gate, keys, profile, reconcile, schema_diff, sequences, topology, validation
 from concordat.plans.export import ledger_difference
@@ -307,16 +307,28 @@ def row_digest_nation(spark, sf_dir):
     return df.select("n_nationkey", row_digest([F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string")]).alias("sha256"))
 
 
-@_query(f"select count(*) as rows, sha256('concordat row encoding v1' || string_agg(h, '' order by k)) as sha256 from (select cast(o_orderkey as varchar) as k, {_ORDER_ROW} as h from orders)")
+def _tree(key: str, row: str, table: str) -> str:
+    return f"""
+with r as (select {key} as k, {row} as h from {table}),
+leaves as (select substr(k, 1, 5) as leaf, count(*) as n, sha256(string_agg(h, '' order by k, h)) as h from r group by all),
+branches as (select substr(leaf, 1, 2) as branch, sum(n) as n, sha256(string_agg(leaf || h, '' order by leaf)) as h from leaves group by all)
+select cast(coalesce(sum(n), 0) as bigint) as rows, sha256('concordat row encoding v2' || coalesce(string_agg(branch || h, '' order by branch), '')) as sha256 from branches"""
+
+
+@_query(_tree(f"sha256({_enc('cast(o_orderkey as varchar)')})", _ORDER_ROW, "orders"))
 def table_digest_orders(spark, sf_dir):
     df = _orders_canonical(spark, sf_dir)
     return table_digest(df, ["o_orderkey"], {c: F.col(c) for c in df.columns})
 
 
-@_query()
-def bucketed_digest_orders(spark, sf_dir):
-    df = _orders_canonical(spark, sf_dir)
-    return bucketed_digest(df, ["o_orderkey"], {c: F.col(c) for c in df.columns}, 4_000)
+_LINE = ["cast(l_orderkey as varchar)", "cast(l_linenumber as varchar)", "l_returnflag", "cast(cast(l_quantity as bigint) as varchar)"]
+
+
+@_query(_tree(f"sha256({' || '.join(map(_enc, _LINE[:2]))})", f"sha256({' || '.join(map(_enc, _LINE))})", "lineitem"))
+def table_digest_lineitem(spark, sf_dir):
+    """A key of two columns, which some rows share."""
+    df = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("l_quantity"))
+    return table_digest(df, ["l_orderkey", "l_linenumber"], {c: F.col(c) for c in df.columns})
 
 
 def _tampered(df: DataFrame) -> DataFrame:

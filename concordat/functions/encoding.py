@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Version mark of the row encoding; a digest begins with it.
-HEADER = "concordat row encoding v1"
+HEADER = "concordat row encoding v2"
 
 
 def encode_row(canonicals: list[Column]) -> Column:
@@ -26,23 +26,31 @@ def row_digest(canonicals: list[Column]) -> Column:
     return F.sha2(encode_row(canonicals), 256)
 
 
+#: Leading hexadecimal digits of a key's hash that make a leaf and a branch of a table's hash tree.
+LEAF, BRANCH = 5, 2
+
+
+def _gathered(prefix: str, order: str, text: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(prefix).alias("p"), F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), ""), 256)
+
+
+def tree_digest(hashes: DataFrame, *sums: Column) -> DataFrame:
+    """``(rows, sha256, ...)`` of ``(k, h)``, the hashes of rows' keys and of rows: rows are hashed in the order
+    of their keys' hashes, leaf by leaf, leaves into branches and branches into one. The tree has the
+    same shape at any size, so a receipt tells nothing of how it was made, and no task gathers more than a
+    millionth of the rows or some thousand leaves. ``sums`` are further columns to be added up on the way."""
+    extra = [F.sum(c).alias(f"s{k}") for k, c in enumerate(sums)]
+    again = [F.sum(f"s{k}").alias(f"s{k}") for k in range(len(sums))]
+    leaves = hashes.withColumn("leaf", F.substring("k", 1, LEAF)).groupBy("leaf").agg(F.count("*").alias("n"), _gathered("k", "h", F.col("h")).alias("h"), *extra)
+    branches = leaves.withColumn("branch", F.substring("leaf", 1, BRANCH)).groupBy("branch").agg(F.sum("n").alias("n"), _gathered("leaf", "h", F.concat("leaf", "h")).alias("h"), *again)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("branch", "h"))), lambda x: F.concat(x["branch"], x["h"])), "")
+    named = [F.coalesce(F.sum(f"s{k}"), F.lit(0)).alias(f"sum_{k}") for k in range(len(sums))]
+    return branches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.concat(F.lit(HEADER), listed), 256).alias("sha256"), *named)
+
+
 def table_digest(rows: DataFrame, key: list[str], canonicals: dict[str, Column]) -> DataFrame:
-    """``(rows, sha256)``: a hash over the rows' hashes in key order. One task concatenates 64 bytes a row;
-    beyond some ten million rows use ``bucketed_digest``."""
-    order = F.struct(*[F.col(k) for k in key])
-    each = rows.select(order.alias("k"), row_digest(list(canonicals.values())).alias("h"))
-    return each.agg(F.count("*").alias("rows"), F.sha2(F.concat(F.lit(HEADER), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")), 256).alias("sha256"))
-
-
-def bucketed_digest(rows: DataFrame, key: list[str], canonicals: dict[str, Column], rows_per_bucket: int = 100_000) -> DataFrame:
-    """``(rows, sha256)`` in two levels: buckets by a hash of the key, each hashed in key order, then the
-    buckets' hashes in bucket order. No task gathers more than a bucket or the list of buckets."""
-    n = rows.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    order = F.struct(*[F.col(k) for k in key])
-    each = rows.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("b"), order.alias("k"), row_digest(list(canonicals.values())).alias("h"))
-    level = each.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.concat(F.lit(f"{HEADER} / {buckets}"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")), 256).alias("sha256"))
+    """``(rows, sha256)`` of a table by its hash tree."""
+    return tree_digest(rows.select(row_digest([F.col(k) for k in key]).alias("k"), row_digest(list(canonicals.values())).alias("h")))
 
 
 def load_text(value: Column, kind: str) -> Column:

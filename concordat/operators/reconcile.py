@@ -2,7 +2,8 @@
 
 A full outer join on the canonical key replaces an ordered merge of two cursors: it needs no total
 order, runs in parallel, and tells missing rows from changed ones. Duplicate keys would multiply in a
-join, so they are looked for first.
+join of rows, so whole tables are compared by one row for each key: its count and its rows' hash.
+Only where these differ are the columns themselves looked at.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.errors import Refusal, Refused
 from concordat.functions import codecs
-from concordat.functions.encoding import bucketed_digest, table_digest
+from concordat.functions.encoding import row_digest, table_digest, tree_digest
 from concordat.manifest import TableSpec
 
-DIGEST_ROWS = 1_000_000
-
 
 def canonical_frame(df: DataFrame, table: TableSpec, side: str) -> DataFrame:
     """All declared columns, generated ones too, as canonical texts."""
@@ -44,9 +44,38 @@ def first_difference(diff: DataFrame, key: list[str]) -> DataFrame:
 
 
 def digest(canonical: DataFrame, table: TableSpec) -> DataFrame:
-    """The table's receipt ``(rows, sha256)``; large tables take the two-level form."""
-    texts = {c.name: F.col(c.name) for c in table.columns}
-    return (table_digest if canonical.count() <= DIGEST_ROWS else bucketed_digest)(canonical, list(table.primary_key), texts)
+    """The table's receipt ``(rows, sha256)``."""
+    return table_digest(canonical, list(table.primary_key), {c.name: F.col(c.name) for c in table.columns})
+
+
+def sealed(canonical: DataFrame, key: list[str], mark: str) -> DataFrame:
+    """One row for each key: the hashes of the key and of its row, and how many rows have the key."""
+    names = [row_digest([F.col(k) for k in key]).alias("k"), row_digest([F.col(c) for c in canonical.columns]).alias("h")]
+    return canonical.select(*names).groupBy("k").agg(F.min("h").alias(f"h_{mark}"), F.count("*").alias(f"n_{mark}"))
+
+
+def compared(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """``(k, h, bad)`` of two canonical frames with equal columns: each key's hash, the left row's hash, and
+    whether the key is not exactly once on both sides with equal rows."""
+    both = sealed(left, key, "a").join(sealed(right, key, "b"), "k", "full_outer")
+    same = (F.col("n_a") == 1) & (F.col("n_b") == 1) & (F.col("h_a") == F.col("h_b"))
+    return both.select("k", F.coalesce("h_a", "h_b").alias("h"), (~F.coalesce(same, F.lit(False))).cast("int").alias("bad"))
+
+
+def verified(source: DataFrame, target: DataFrame, table: TableSpec, sides: tuple[str, str] = ("loose", "strict")) -> dict:
+    """``{rows, sha256}`` if both sides agree in every declared column that the target has; a refusal
+    naming table and column otherwise. Each side is read once; only a failure reads them again."""
+    present = source.columns if sides[0] == "strict" else target.columns
+    spec = TableSpec(table.name, tuple(c for c in table.columns if c.name in present), table.primary_key)
+    key = list(spec.primary_key)
+    a, b = canonical_frame(source, spec, sides[0]), canonical_frame(target, spec, sides[1])
+    receipt = tree_digest(compared(a, b, key), F.col("bad")).first()
+    if receipt["sum_0"]:
+        again = [df.groupBy(*key).count().filter("count > 1") for df in (a, b)]
+        if any(not df.isEmpty() for df in again):
+            raise Refused(Refusal("verification-mismatch", table.name, key[0]))
+        raise Refused(Refusal("verification-mismatch", table.name, first_difference(differences(a, b, key), key).first()["column"]))
+    return {"rows": receipt["rows"], "sha256": receipt["sha256"]}
 
 
 def codec_errors(df: DataFrame, table: TableSpec, side: str) -> DataFrame:

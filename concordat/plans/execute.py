@@ -21,11 +21,13 @@ from concordat.sinks.staged import Receipt, StagedFolder, write_receipt
 
 @dataclass
 class Hooks:
-    """Seams for tests and progress; each gets the table and may return another frame."""
+    """Seams for tests and progress. Those of a table get its name and may return another frame;
+    ``after_outcome`` runs when the outcome is known, whatever it is, and cannot change it."""
 
     after_load: Callable[[str, DataFrame], DataFrame] | None = None
     before_verify: Callable[[str, DataFrame], DataFrame] | None = None
     before_commit: Callable[[], None] | None = None
+    after_outcome: Callable[[str], None] | None = None
     on_progress: Callable[[str, str], None] | None = None
 
     def told(self, step: str, table: str) -> None:
@@ -48,21 +50,6 @@ def strict_frame(loose: DataFrame, table: TableSpec) -> DataFrame:
     return loose.select(*[codecs.to_strict(c, F.col(c.name)).alias(c.name) for c in table.written])
 
 
-def verify(source: DataFrame, target: DataFrame, table: TableSpec) -> dict:
-    """``{rows, sha256}`` if both sides agree in every declared column; a refusal naming table and column
-    otherwise. Generated columns are compared if the target has them."""
-    spec = TableSpec(table.name, tuple(c for c in table.columns if c.name in target.columns), table.primary_key)
-    key = list(spec.primary_key)
-    a = reconcile.canonical_frame(source, spec, "loose")
-    b = reconcile.canonical_frame(target, spec, "strict")
-    if not keys.duplicate_keys(a, key).isEmpty() or not keys.duplicate_keys(b, key).isEmpty():
-        raise Refused(Refusal("verification-mismatch", table.name, key[0]))
-    diff = reconcile.first_difference(reconcile.differences(a, b, key), key).first()
-    if diff["kind"] is not None:
-        raise Refused(Refusal("verification-mismatch", table.name, diff["column"]))
-    return reconcile.digest(a, spec).first().asDict()
-
-
 def execute(
     spark: SparkSession,
     snapshot_path: str,
@@ -95,7 +82,7 @@ def execute(
             t1 = time.monotonic()
             hooks.told("verify", name)
             loaded = spark.read.parquet(path)
-            receipt = verify(sources[name], hooks.before_verify(name, loaded) if hooks.before_verify else loaded, spec)
+            receipt = reconcile.verified(sources[name], hooks.before_verify(name, loaded) if hooks.before_verify else loaded, spec)
             t2 = time.monotonic()
             result.tables.append({"table": name, **receipt, "load_seconds": t1 - t0, "verify_seconds": t2 - t1, "rows_per_second": receipt["rows"] / max(t1 - t0, 1e-9)})
         for fk in plan.foreign_keys:

@@ -13,8 +13,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.errors import Refusal, Refused
-from concordat.manifest import Manifest, TableSpec
-from concordat.operators import gate, keys, reconcile, validation
+from concordat.manifest import Manifest
+from concordat.operators import gate, reconcile, validation
 from concordat.plans.plan import Target, sides_of
 from concordat.sinks import sqlite_file
 from concordat.sinks.staged import SIDECARS, Receipt, publish_file, write_receipt
@@ -49,19 +49,6 @@ def _judge(spark: SparkSession, manifest: Manifest, target: Target, work: str) -
         raise Refused(filled[0])
 
 
-def _verify(spark: SparkSession, work: str, source: DataFrame, table: TableSpec) -> dict:
-    spec = TableSpec(table.name, tuple(c for c in table.columns if c.name in source.columns), table.primary_key)
-    key = list(spec.primary_key)
-    a = reconcile.canonical_frame(sqlite.read_table(spark, work, table.name), spec, "loose")
-    b = reconcile.canonical_frame(source, spec, "strict")
-    if not keys.duplicate_keys(b, key).isEmpty():
-        raise Refused(Refusal("verification-mismatch", table.name, key[0]))
-    diff = reconcile.first_difference(reconcile.differences(a, b, key), key).first()
-    if diff["kind"] is not None:
-        raise Refused(Refusal("verification-mismatch", table.name, diff["column"]))
-    return reconcile.digest(a, spec).first().asDict()
-
-
 def reverse(
     spark: SparkSession,
     tables: dict[str, DataFrame],
@@ -105,7 +92,7 @@ def reverse(
             db.close()
         for name, spec in manifest.tables.items():
             t0 = time.monotonic()
-            receipt = _verify(spark, work, tables[name], spec)
+            receipt = reconcile.verified(sqlite.read_table(spark, work, name), tables[name], spec)
             result.tables.append({"table": name, **receipt, "load_seconds": loaded[name], "verify_seconds": time.monotonic() - t0})
         result.totals = {"rows": sum(t["rows"] for t in result.tables), "seconds": time.monotonic() - began}
         if dry_run:

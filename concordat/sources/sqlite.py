@@ -12,6 +12,7 @@ import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -20,6 +21,9 @@ from concordat.errors import Refusal, Refused
 from concordat.functions.cells import CELL
 
 
+CELL_FIELDS = ["cls", "i", "r", "raw"]
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -65,27 +69,44 @@ class CellReader(DataSourceReader):
         db = connect(self.path)
         try:
             low, high = db.execute(f"select min(rowid), max(rowid) from {quoted(self.table)}").fetchone()
+            if low is None:
+                return [RowidRange(0, -1)]
+            n = db.execute(f"select count(*) from {quoted(self.table)}").fetchone()[0]
+            if high - low >= 4 * n:  # few rows far apart: ranges end where rows are
+                numbered = f"select rowid as at, row_number() over (order by rowid) - 1 as n from {quoted(self.table)}"
+                lows = [r[0] for r in db.execute(f"select at from ({numbered}) where n % {self.rows_per_partition} = 0 order by at")]
+            else:
+                lows = list(range(low, high + 1, self.rows_per_partition))
         except sqlite3.OperationalError:  # a table without rowid is read in one piece
             return [RowidRange(None, None)]
         finally:
             db.close()
-        if low is None:
-            return [RowidRange(0, -1)]
-        return [RowidRange(a, min(a + self.rows_per_partition - 1, high)) for a in range(low, high + 1, self.rows_per_partition)]
+        return [RowidRange(a, b) for a, b in zip(lows, [*(x - 1 for x in lows[1:]), high])]
 
-    def read(self, partition: RowidRange) -> Iterator[tuple]:
+    def read(self, partition: RowidRange) -> Iterator[pa.RecordBatch]:
         parts = ", ".join(f"typeof({quoted(c)}), case when typeof({quoted(c)}) in ('text', 'blob') then cast({quoted(c)} as blob) else {quoted(c)} end" for c in self.columns)
         where = "" if partition.low is None else f" where rowid between {partition.low} and {partition.high}"
         db = connect(self.path)
         try:
-            for row in db.execute(f"select {parts} from {quoted(self.table)}{where}"):
-                yield tuple(_cell(row[k].decode(), row[k + 1]) for k in range(0, len(row), 2))
+            found = db.execute(f"select {parts} from {quoted(self.table)}{where}")
+            while rows := found.fetchmany(4096):
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([_cells(columns[k], columns[k + 1]) for k in range(0, len(columns), 2)], names=self.columns)
         finally:
             db.close()
 
 
-def _cell(cls: str, value: object) -> tuple:
-    return cls, value if cls == "integer" else None, value if cls == "real" else None, bytearray(value) if cls in ("text", "blob") else None
+def _cells(classes: tuple, values: tuple) -> pa.Array:
+    """Storage classes and stored values of one column as an array of cells."""
+    classes = [c.decode() for c in classes]
+    pairs = list(zip(classes, values))
+    held = {
+        "cls": pa.array(classes, pa.string()),
+        "i": pa.array([v if c == "integer" else None for c, v in pairs], pa.int64()),
+        "r": pa.array([v if c == "real" else None for c, v in pairs], pa.float64()),
+        "raw": pa.array([v if c in ("text", "blob") else None for c, v in pairs], pa.binary()),
+    }
+    return pa.StructArray.from_arrays([held[n] for n in CELL_FIELDS], CELL_FIELDS)
 
 
 class SqliteSource(DataSource):

@@ -41,12 +41,14 @@ def test_entry_has_rows(spark):
     assert catalog_queries.entry(spark, DATA).count() > 0
 
 
-def test_bucketed_digest_follows_content_only(spark):
-    from concordat.functions.encoding import bucketed_digest
+def test_table_digest_follows_content_only(spark):
+    from concordat.functions.encoding import table_digest
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(str(k), "v") for k in range(50)], "k string, v string")
     texts = {"k": F.col("k"), "v": F.col("v")}
-    one = bucketed_digest(df, ["k"], texts, 7).first()
-    assert one == bucketed_digest(df.orderBy(F.rand(3)).repartition(5), ["k"], texts, 7).first()
-    assert one.sha256 != bucketed_digest(df.withColumn("v", F.when(F.col("k") == "7", "w").otherwise("v")), ["k"], texts, 7).first().sha256
+    one = table_digest(df, ["k"], texts).first()
+    assert one == table_digest(df.orderBy(F.rand(3)).repartition(5), ["k"], texts).first() and one.rows == 50
+    assert one.sha256 != table_digest(df.withColumn("v", F.when(F.col("k") == "7", "w").otherwise("v")), ["k"], texts).first().sha256
+    assert one.sha256 != table_digest(df.union(df.limit(1)), ["k"], texts).first().sha256
+    assert table_digest(df.limit(0), ["k"], texts).first().rows == 0
