@@ -113,7 +113,7 @@ class Merges:
                 raise ValueError(f"{os.path.basename(path)}: a token that two merges make is not compiled")
             self.symbols[whole], self.parts[whole] = self.symbols[a] + self.symbols[b], (a, b)
             self.turn[whole], self.merged[a, b] = turn, turn
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
 
     def _meet(self, a: int, b: int, until: int) -> bool:
@@ -134,11 +134,16 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether two tokens that follow each other stay as they are."""
-        found = self._apart.get((a, b))
+        key = a << 32 | b
+        found = self._apart.get(key)
         if found is None:
-            found = self._apart[a, b] = not self._meet(a, b, len(self.turn) + 1)
+            found = self._apart[key] = not self._meet(a, b, len(self.turn) + 1)
         return found
 
+    def forget(self) -> None:
+        """Drop the answers about pairs, of which there may be any number."""
+        self._apart.clear()
+
     def sound(self, token: int) -> bool:
         """Whether the merges make this token of its own symbols."""
         found = self._sound.get(token)
@@ -205,7 +210,12 @@ class Prefixes:
 
 
 class Machine:
-    """``most_states`` bounds the table: a state takes some 400 bytes, its transitions some 60 each."""
+    """``most_states`` bounds the table: a state, its transitions and the pairs met on the way take some 500
+    bytes together.
+
+    A state is kept as one flat tuple: its node, the token that ends there, and for each of the node's
+    suffixes, the longest first, the token that ends before it and the change in the number of tokens
+    from here back to there."""
 
     def __init__(self, path: str, most_states: int = 300_000):
         self.merges = Merges(path)
@@ -225,19 +235,17 @@ class Machine:
         self.ends = np.full(1 << 12, -1, dtype=np.int32)  # the token that ends at each state
         self.used, self.bits = 0, 14
         self.keys, self.values = np.full(1 << self.bits, FREE), np.zeros(1 << self.bits, dtype=np.int64)
-        self._state(0, ((0, -1, 0),))
+        self.merges.forget()
+        self._state((0, -1))
 
-    def _state(self, node: int, behind: tuple) -> int:
-        """``behind``: for each place where a token may begin, how far back it lies, the token that ends
-        there, and how many tokens more than there the prefix has, with its sign turned."""
-        key = (node, behind)
+    def _state(self, key: tuple[int, ...]) -> int:
         found = self.number.get(key)
         if found is None:
             found = self.number[key] = len(self.known)
             self.known.append(key)
             if found >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.full(len(self.ends), -1, dtype=np.int32)])
-            self.ends[found] = behind[0][1]
+            self.ends[found] = key[1]
         return found
 
     # --- compiling ------------------------------------------------------------------------
@@ -247,9 +255,11 @@ class Machine:
         and the change in the number of tokens."""
         if not state and symbol in self.alone:
             return (~self.alone[symbol] << 16) + BIAS + 1
-        node, behind = self.known[state]
-        at = {back: (token, n) for back, token, n in behind}
-        node = self.tree.go(node, symbol)
+        key = self.known[state]
+        at = {0: (key[1], 0)}
+        for k, back in enumerate(self.tree.chain(key[0])[0], 1):
+            at[back] = (key[2 * k], key[2 * k + 1])
+        node = self.tree.go(key[0], symbol)
         depths, ends = self.tree.chain(node)
         for token, back in ends:
             before, n = at[back]
@@ -260,7 +270,11 @@ class Machine:
         change = n + 1
         if symbol >= LAST:
             return (~token << 16) + BIAS + change
-        return (self._state(node, ((0, token, 0), *((d, at[d - 1][0], at[d - 1][1] - change) for d in depths))) << 16) + BIAS + change
+        flat = [node, token]
+        for depth in depths:
+            before, n = at[depth - 1]
+            flat += (before, n - change)
+        return (self._state(tuple(flat)) << 16) + BIAS + change
 
     def _place(self, key: int) -> int:
         """The slot of a key, or the free one where it belongs."""

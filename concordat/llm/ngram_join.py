@@ -176,8 +176,8 @@ class Group:
                 fits &= block[rows, None] != block
             i, j = np.nonzero(fits)
             ahead = i + at < j
-            left.append(i[ahead] + at)
-            right.append(j[ahead])
+            left.append((i[ahead] + at).astype(np.int32))
+            right.append(j[ahead].astype(np.int32))
         i, j = np.concatenate(left), np.concatenate(right)
         return self._first_here(leaf, i, j)
 
@@ -263,24 +263,20 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray, names: list[bytes]) -> list[bytes]:
-    """For each member the smallest name of its component in this group."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[b] = a
-    least: dict[int, bytes] = {}
-    for k in range(n):
-        r = find(k)
-        least[r] = min(least.get(r, names[k]), names[k])
-    return [least[find(k)] for k in range(n)]
+    """For each member the smallest name of its component in this group. Members take the least place
+    of their neighbours, and of whoever stands at that place, until nothing changes."""
+    order = sorted(range(n), key=names.__getitem__)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    a, b, least = place[i], place[j], np.arange(n, dtype=np.int32)
+    while True:
+        now = least.copy()
+        np.minimum.at(now, a, least[b])
+        np.minimum.at(now, b, least[a])
+        now = now[now]
+        if (now == least).all():
+            return [names[order[k]] for k in least[place]]
+        least = now
 
 
 def _verify(config: JoinConfig):
@@ -375,6 +371,7 @@ def _leaves(classes: DataFrame, config: JoinConfig, scratch: Scratch) -> DataFra
             break
         going = counts.filter("k > 1").join(split.filter(~done).select("node"), "node", "left_semi").select("node", "child", "k")
         going = scratch.write(going, f"going-{depth}")
+        scratch.drop(f"counts-{depth}")
         live = scratch.write(kids.join(going, ["node", "child"]).select("cls", F.col("child").alias("node"), F.col("k").alias("n")), f"level-{depth}")
         scratch.drop(f"kids-{depth}")
         leaves = leaves.union(live.filter(F.col("n") <= config.small).select("cls", F.col("node").alias("leaf")))
@@ -407,7 +404,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> t
     facts = scratch.write(lists.join(facts, "cls"), "members")
     cut = leaves.join(facts.select("cls", "size"), "cls").groupBy("leaf").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     pieces = F.greatest(F.ceil(F.col("n") / config.block_sets), F.ceil(F.col("total") / config.block_shingles), F.lit(1)).cast("int")
-    blocks = cut.select("leaf", pieces.alias("pieces"))
+    blocks = scratch.write(cut.select("leaf", pieces.alias("pieces")), "blocks")
     own = leaves.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("cls", "leaf"), F.col("pieces")).cast("int"))
     spread = own.select("cls", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     units = spread.select("cls", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block")
