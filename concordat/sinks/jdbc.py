@@ -46,11 +46,33 @@ def constraint_statements(foreign_keys: list[dict]) -> tuple[list[str], list[str
     return drop, add
 
 
-def read_all(spark: SparkSession, manifest: Manifest, config: PostgresConfig, schema: str = "public") -> dict[str, DataFrame]:
-    """The manifest's tables as frames; JSON, exact numerics and UUIDs come as text so that no digit is lost."""
+def read_one(spark: SparkSession, table: TableSpec, config: PostgresConfig, schema: str = "public", partitions: int | None = None) -> DataFrame:
+    """A table as a frame; JSON, exact numerics and UUIDs come as text so that no digit is lost. The table is
+    read by ranges of its pages, one query each, so that no connection carries all of it."""
     as_text = {"decimal-as-string", "json-text", "uuid-text"}
-    out = {}
-    for t in manifest.tables.values():
-        columns = ", ".join(f"{quoted(c.name)}::text as {quoted(c.name)}" if c.codec in as_text else quoted(c.name) for c in t.columns)
-        out[t.name] = spark.read.format("jdbc").options(**config.jdbc, query=f"select {columns} from {quoted(schema)}.{quoted(t.name)}").load()
-    return out
+    columns = ", ".join(f"{quoted(c.name)}::text as {quoted(c.name)}" if c.codec in as_text else quoted(c.name) for c in table.columns)
+    source = f"{quoted(schema)}.{quoted(table.name)}"
+    n = partitions or spark.sparkContext.defaultParallelism
+    size = f"(select pg_catalog.pg_relation_size({literal(source)}::regclass) / current_setting('block_size')::bigint as pages) s"
+    pages = int(spark.read.format("jdbc").options(**config.jdbc, dbtable=size).load().first()["pages"])
+    predicates = page_ranges(pages, n)
+    relation = f"(select {columns}, ctid from {source}) t"
+    frame = spark.read.jdbc(config.jdbc["url"], relation, predicates=predicates, properties={k: v for k, v in config.jdbc.items() if k != "url"})
+    return frame.drop("ctid")
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def page_ranges(pages: int, n: int) -> list[str]:
+    """Conditions that cut a table into at most ``n`` runs of pages; the last one is open, for rows that came since."""
+    step = max(1, -(-pages // max(1, n)))
+    starts = list(range(0, max(pages, 1), step))
+    ends = [*starts[1:], None]
+    return [f"ctid >= '({a},0)'::tid" + ("" if b is None else f" and ctid < '({b},0)'::tid") for a, b in zip(starts, ends)]
+
+
+def read_all(spark: SparkSession, manifest: Manifest, config: PostgresConfig, schema: str = "public") -> dict[str, DataFrame]:
+    """The manifest's tables as frames."""
+    return {t.name: read_one(spark, t, config, schema) for t in manifest.tables.values()}
