@@ -62,6 +62,11 @@ def _split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+def _with_next(width: int):
+    """Hashes of runs of ``width`` words become those of twice as many; the last ones run over the end."""
+    return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + width)))
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of eight words found twice or more. The hashes of windows are
     compared as a set first; only texts with a repeat sort them and measure the union of the
@@ -88,16 +93,14 @@ def _repeat_words(words: Column) -> Column:
 
     def over(w: Column) -> Column:
         hashed = F.transform(w, lambda x: F.xxhash64(x))
-        windows = let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(WINDOW)))))
+        for width in (1, 2, 4):  # hashes of two words, of four, of eight
+            hashed = let(hashed, _with_next(width))
+        windows = F.slice(hashed, F.lit(1), F.size(w) - (WINDOW - 1))
         return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
     return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(let(words, over))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def _dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
@@ -107,8 +110,8 @@ def _measured(text: Column):
     def row(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            _without(text, SPACES).cast("long").alias("word_chars"),
-            (F.length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).alias("n_stop"),
             F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).alias("n_stutter"),
