@@ -28,6 +28,7 @@ class ExportApp:
     expected_ids: Iterable[str]
     skip_tables: dict[str, str] = field(default_factory=dict)
     smoke: Callable[[str], None] | None = None
+    ledger_query: str | None = None  # the strict store's applied migrations as ``id``
 
     def reverse_manifest(self) -> Manifest:
         """The manifest with the app's further tables declared as skipped."""

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -34,6 +35,21 @@ class ReverseResult:
     receipt_path: str | None = None
 
 
+@dataclass
+class ReverseHooks:
+    """Seams for tests and progress: what is loaded of a table may be replaced, the work file may be touched
+    before it is verified or put in place."""
+
+    before_load: Callable[[str, DataFrame], DataFrame] | None = None
+    before_verify: Callable[[str], None] | None = None
+    before_publish: Callable[[str], None] | None = None
+    on_progress: Callable[[str, str], None] | None = None
+
+    def told(self, step: str, table: str) -> None:
+        if self.on_progress:
+            self.on_progress(step, table)
+
+
 def _judge(spark: SparkSession, manifest: Manifest, target: Target, work: str) -> None:
     if target.in_recovery:
         raise Refused(Refusal("source-in-recovery"))
@@ -61,6 +77,7 @@ def reverse(
     dry_run: bool = False,
     receipt_path: str | None = None,
     work_dir: str | None = None,
+    hooks: ReverseHooks = ReverseHooks(),
 ) -> ReverseResult:
     """Write ``path`` from strict tables. The file appears under its name only when all of it is verified."""
     run_id, started = str(uuid.uuid4()), datetime.now(UTC).isoformat()
@@ -80,8 +97,9 @@ def reverse(
             db.execute("pragma foreign_keys = off")
             db.execute("begin immediate")
             for name, spec in manifest.tables.items():
+                hooks.told("load", name)
                 t0 = time.monotonic()
-                sqlite_file.load_table(db, tables[name], spec)
+                sqlite_file.load_table(db, hooks.before_load(name, tables[name]) if hooks.before_load else tables[name], spec)
                 loaded[name] = time.monotonic() - t0
             found = sqlite_file.audit(db)
             if found:
@@ -90,13 +108,18 @@ def reverse(
             db.execute("commit")
         finally:
             db.close()
+        if hooks.before_verify:
+            hooks.before_verify(work)
         for name, spec in manifest.tables.items():
+            hooks.told("verify", name)
             t0 = time.monotonic()
             receipt = reconcile.verified(sqlite.read_table(spark, work, name), tables[name], spec)
             result.tables.append({"table": name, **receipt, "load_seconds": loaded[name], "verify_seconds": time.monotonic() - t0})
         result.totals = {"rows": sum(t["rows"] for t in result.tables), "seconds": time.monotonic() - began}
         if dry_run:
             return result
+        if hooks.before_publish:
+            hooks.before_publish(work)
         sha = file_sha256(work)
         publish_file(work, path)
         result.path = path
