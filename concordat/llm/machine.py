@@ -26,6 +26,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +49,7 @@ FREE = np.uint64((1 << 64) - 1)
 SPREAD = 0x9E3779B97F4A7C15
 #: Fewer words than this are cheaper byte by byte.
 FEW = 24
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -100,19 +101,22 @@ class Merges:
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         self.special = {t["content"].encode("utf-8"): (bytes([b]), t["id"]) for b, t in zip(STAND_INS, spec.get("added_tokens") or [])}
         #: Symbols of each token, its two parts and the turn at which the merge of these comes.
+        size = max([*vocab.values(), *(i for _, i in self.special.values())]) + 1
         self.symbols: dict[int, tuple[int, ...]] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.turn: dict[int, int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        self.first, self.second, self.turn = (array("i", [0]) * size for _ in range(3))
+        self.merged: dict[int, int] = {}
         for b, c in SPELLED.items():
             for token, symbol in ((vocab[c], b), (vocab[c + end], b + LAST)):
-                self.symbols[token], self.turn[token] = (symbol,), 0
+                self.symbols[token] = (symbol,)
         for turn, (a, b) in enumerate(pairs, 1):
             whole, a, b = vocab[a + b], vocab[a], vocab[b]
             if whole in self.symbols:
                 raise ValueError(f"{os.path.basename(path)}: a token that two merges make is not compiled")
-            self.symbols[whole], self.parts[whole] = self.symbols[a] + self.symbols[b], (a, b)
-            self.turn[whole], self.merged[a, b] = turn, turn
+            self.symbols[whole] = self.symbols[a] + self.symbols[b]
+            self.first[whole], self.second[whole], self.turn[whole], self.merged[a << 32 | b] = a, b, turn, turn
+        self.lengths = np.zeros(size, dtype=np.int64)
+        for token, symbols in self.symbols.items():
+            self.lengths[token] = len(symbols)
         self._apart: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
 
@@ -122,13 +126,13 @@ class Merges:
         of one kind the left one comes first, so a merge in ``b`` also gives way at its own turn."""
         left_wins = False
         while True:
-            at = self.merged.get((a, b))
+            at = self.merged.get(a << 32 | b)
             if at is not None and (at < until or (left_wins and at == until)):
                 return True
             if self.turn[a] > self.turn[b]:
-                until, a, left_wins = self.turn[a], self.parts[a][1], False
+                until, a, left_wins = self.turn[a], self.second[a], False
             elif self.turn[b]:
-                until, b, left_wins = self.turn[b], self.parts[b][0], True
+                until, b, left_wins = self.turn[b], self.first[b], True
             else:
                 return False
 
@@ -137,7 +141,7 @@ class Merges:
         key = a << 32 | b
         found = self._apart.get(key)
         if found is None:
-            found = self._apart[key] = not self._meet(a, b, len(self.turn) + 1)
+            found = self._apart[key] = not self._meet(a, b, len(self.merged) + 1)
         return found
 
     def forget(self) -> None:
@@ -148,8 +152,8 @@ class Merges:
         """Whether the merges make this token of its own symbols."""
         found = self._sound.get(token)
         if found is None:
-            parts = self.parts.get(token)
-            found = self._sound[token] = not parts or (self.sound(parts[0]) and self.sound(parts[1]) and not self._meet(*parts, self.turn[token]))
+            a, b, turn = self.first[token], self.second[token], self.turn[token]
+            found = self._sound[token] = not turn or (self.sound(a) and self.sound(b) and not self._meet(a, b, turn))
         return found
 
 
@@ -221,9 +225,8 @@ class Machine:
         self.merges = Merges(path)
         self.tree = Prefixes(self.merges)
         self.most_states = most_states
-        self.lengths = np.zeros(max([*self.merges.symbols, *(i for _, i in self.merges.special.values())]) + 1, dtype=np.int64)
-        for token, symbols in self.merges.symbols.items():
-            self.lengths[token] = len(symbols)
+        self.merges.symbols = {}  # only the tree needs them
+        self.lengths = self.merges.lengths
         self.alone = {b[0] + LAST: token for b, token in self.merges.special.values()}
         self.lengths[list(self.alone.values())] = 1
         self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + b")") if self.merges.special else None

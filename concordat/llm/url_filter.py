@@ -130,9 +130,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.max_by(F.when(F.col("given"), F.struct("rule", "rule_verdict")), F.when(F.col("given"), rank)).alias("best"),
         F.max_by(F.when(~F.col("given"), F.struct("rule", "rule_verdict")), F.when(~F.col("given"), rank)).alias("own"),
     )
-    # Written, so that the join below is one of plain shuffles, whose hot URLs Spark splits; rows without a host stay out of it.
+    # Written and merged, so that the join below is one of plain shuffles, whose hot URLs Spark splits, and never a
+    # broadcast of what grows with the pages; rows without a host stay out of it.
     found = Scratch(pages.sparkSession, "url-verdicts").write(found, "found")
-    joined = slim.filter("target <> ''").join(found, "target", "left")
+    joined = slim.filter("target <> ''").join(found.hint("merge"), "target", "left")
     alone = slim.filter("target = ''").select("target", "id", "host", "path", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("best", "own")])
     judged = joined.unionByName(alone)
     verdict = F.coalesce(F.col("best.rule_verdict"), F.col("own.rule_verdict"), F.lit("allow"))

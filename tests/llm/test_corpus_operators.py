@@ -233,23 +233,23 @@ def test_machine_matches_library(reader):
         assert small.counts([raw[k] for k in some], size) == [len(want[k]) for k in some]
 
 
-def test_merges_against_plain_merging(reader):
+def test_merges_against_plain_merging():
     """Whether tokens are made of their symbols, and whether two stay apart, by merging in full."""
-    merges, draw = reader.merges, random.Random(7)
+    merges, draw = machine.Merges(PATH), random.Random(7)
     single = {s[0]: t for t, s in merges.symbols.items() if len(s) == 1}
 
     def merged(symbols):
         ids = [single[s] for s in symbols]
-        while (turns := [(merges.merged[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merges.merged]):
+        while (turns := [(merges.merged[a << 32 | b], k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if a << 32 | b in merges.merged]):
             turn, k = min(turns)
             ids[k : k + 2] = [whole[turn]]
         return ids
 
-    whole = {turn: t for t, turn in merges.turn.items() if turn}
+    whole = {turn: t for t, turn in enumerate(merges.turn) if turn}
     some = draw.sample(sorted(merges.symbols), 3000)
     assert all(merges.sound(t) == (merged(merges.symbols[t]) == [t]) for t in some)
     open_ = [t for t in some if merges.sound(t) and merges.symbols[t][-1] < machine.LAST]
-    pairs = [(draw.choice(open_), t) for t in some if merges.sound(t)] + list(merges.merged)[:500] + [(t, t) for t in open_[:300]]
+    pairs = [(draw.choice(open_), t) for t in some if merges.sound(t)] + [divmod(k, 1 << 32) for k in list(merges.merged)[:500]] + [(t, t) for t in open_[:300]]
     assert all(merges.apart(a, b) == (merged(merges.symbols[a] + merges.symbols[b]) == [a, b]) for a, b in pairs if merges.sound(a) and merges.sound(b))
 
 
