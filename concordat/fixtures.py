@@ -32,16 +32,18 @@ REJECTION_OPTIONS = {
     "json-text": {"pgType": "jsonb"},
 }
 _BAD, _LOSSY = "CODEC_INVALID", "CODEC_LOSSY"
+_MOMENT = "2033-07-19T16:16:08"
+_SPACED = _MOMENT.replace("T", " ")
 REJECTIONS = [
-    *[("integer", v, e) for v, e in (("41", None), ("-007", None), ("+5", _BAD), (" 5", _BAD), ("5\n", _BAD), ("", _BAD), ("9007199254740991", None), ("9007199254740992", _LOSSY), ("99999999999999999999999", _LOSSY))],
-    *[("bigint", v, e) for v, e in (("9223372036854775807", None), ("9223372036854775808", _LOSSY), ("-9223372036854775808", None), ("1e3", _BAD))],
-    *[("decimal-as-string", v, e) for v, e in (("+007.500", None), ("5.", None), (".5", None), ("abc", _BAD), ("1e5", _BAD), ("", _BAD), ("NaN", _BAD), ("1,5", _BAD), ("-", _BAD))],
-    *[("uuid-text", v, e) for v, e in (("123E4567-E89B-12D3-A456-426614174000", None), ("123e4567e89b12d3a456426614174000", _BAD), ("123e4567-e89b-12d3-a456-42661417400g", _BAD))],
-    *[("timestamp-iso", v, e) for v, e in (("2024-03-01T10:00:00+02:00", None), ("2024-03-01 10:00z", None), ("2024-03-01T10:00:00", _BAD), ("2024-02-30T00:00:00Z", _BAD), ("2024-03-01T24:00:00Z", _BAD), ("2024-03-01T10:00:60Z", _BAD), ("2024-03-01T10:00:00+24:00", _BAD), ("2024-03-01T10:00:00.1234567Z", _LOSSY), ("2024-03-01T10:00:00.1234560Z", None), ("0000-01-01T00:00:00Z", _LOSSY))],
-    *[("timestamp-epoch-ms", v, e) for v, e in (("1709280000123", None), ("2024-03-01 08:00:00.123", None), ("2024-03-01T08:00:00", _BAD), ("2024-03-01 08:00:00Z", _BAD), ("2024-03-01 08:00", _BAD), ("2024-03-01 08:00:00.1234", _BAD), ("9000000000000000", _LOSSY))],
-    *[("timestamp-naive", v, e) for v, e in (("2026-03-01 10:11:12", None), ("2026-03-01 10:11:12.123456", None), ("2026-03-01 10:11:12.1234567", _BAD), ("2026-03-01T10:11:12", _BAD), ("2026-03-01 10:11:12\n", _BAD), ("2026-02-29 10:11:12", _BAD), ("0000-01-01 00:00:00", _LOSSY))],
-    *[("date-text", v, e) for v, e in (("2026-03-01", None), ("2026-02-30", _BAD), ("2026-3-1", _BAD), ("20260301", _BAD), (" 2026-03-01", _BAD))],
-    *[("json-text", v, e) for v, e in (('{"a": 1}', None), ('{"a": 1, "a": 2}', _BAD), ('{"a":', _BAD), ("NaN", _BAD), ("[1,]", _BAD), ("1E400", None), ("[" * 513 + "]" * 513, _BAD))],
+    *[("integer", v, e) for v, e in (("604", None), ("-00318", None), ("+604", _BAD), ("604 ", _BAD), ("604\n", _BAD), ("", _BAD), (str(2**53 - 1), None), (str(2**53), _LOSSY), ("8" * 25, _LOSSY))],
+    *[("bigint", v, e) for v, e in ((str(2**63 - 1), None), (str(2**63), _LOSSY), (str(-(2**63)), None), ("6.0", _BAD))],
+    *[("decimal-as-string", v, e) for v, e in (("-0042.10", None), ("8.", None), (".75", None), ("eight", _BAD), ("2E3", _BAD), ("", _BAD), ("Infinity", _BAD), ("4 2", _BAD), (".", _BAD))],
+    *[("uuid-text", v, e) for v, e in (("0B5DA0E6-77C1-4F3B-9D1A-5E2F8C6B4A39", None), ("{0b5da0e6-77c1-4f3b-9d1a-5e2f8c6b4a39}", _BAD), ("0b5da0e6-77c1-4f3b-9d1a-5e2f8c6b4a3x", _BAD))],
+    *[("timestamp-iso", v, e) for v, e in ((f"{_MOMENT}+05:30", None), ("2033-07-19 16:16z", None), (_MOMENT, _BAD), ("2035-02-29T16:16:08Z", _BAD), ("2033-07-19T25:16:08Z", _BAD), ("2033-07-19T16:60:08Z", _BAD), (f"{_MOMENT}-31:00", _BAD), (f"{_MOMENT}.0708091Z", _LOSSY), (f"{_MOMENT}.0708090Z", None), ("0000-06-30T00:00:00Z", _LOSSY))],
+    *[("timestamp-epoch-ms", v, e) for v, e in (("2005402568045", None), (f"{_SPACED}.045", None), (_MOMENT, _BAD), (f"{_SPACED}+00", _BAD), ("2033-07-19 16", _BAD), (f"{_SPACED}.0450", _BAD), ("8700000000000000", _LOSSY))],
+    *[("timestamp-naive", v, e) for v, e in ((_SPACED, None), (f"{_SPACED}.070809", None), (f"{_SPACED}.0708091", _BAD), (_MOMENT, _BAD), (f"{_SPACED}\n", _BAD), ("2035-02-29 16:16:08", _BAD), ("0000-12-31 23:59:59", _LOSSY))],
+    *[("date-text", v, e) for v, e in (("2036-02-29", None), ("2035-02-29", _BAD), ("2033-7-19", _BAD), ("19.07.2033", _BAD), ("2033-07-19 ", _BAD))],
+    *[("json-text", v, e) for v, e in (('{"k": [7]}', None), ('{"q": 1, "\\u0071": 2}', _BAD), ('["open"', _BAD), ("-Infinity", _BAD), ('{"k": 1,}', _BAD), ("7E500", None), ("[" * 513 + "]" * 513, _BAD))],
 ]
 
 # --- sequences -----------------------------------------------------------------------------------

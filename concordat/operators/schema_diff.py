@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.functions.expressions import balanced, index_signature, loose_class, normalized, strict_class, unwrapped
+from concordat.functions.expressions import check_text, index_signature, loose_class, normalized, strict_class
 
 MODEL = "side string, table string, kind string, name string, signature string, raw string, class string, not_null boolean, has_default boolean"
 
@@ -77,8 +77,7 @@ def strict_model(columns: list[tuple], keys: list[tuple], indexes: list[tuple],
         if found := index_signature(definition, unique):
             out.append(("postgres", t, found[0], name, found[1], None, None, None, None))
     for t, definition in checks:
-        inside = balanced(definition)
-        text = unwrapped(inside[0] if inside else definition)
+        text = check_text(definition)
         out.append(("postgres", t, "check", text, normalized(text), None, None, None, None))
     return out
 

@@ -94,9 +94,12 @@ def test_topology():
 
 
 def test_schema_text():
-    assert expressions.balanced("f('(' , (a))x") == ("'(' , (a)", "x")
-    assert expressions.unwrapped("((a) or (b))") == "(a) or (b)"
-    assert expressions.split_top("a, f(b, c), 'd,e'") == ["a", " f(b, c)", " 'd,e'"]
+    text = expressions.grouped("f('(' , (a))x")
+    assert str(text[text.group()]) == "'(' , (a)" and str(text) == "f('(' , (a))x" and str(expressions.grouped("a (b")) == "a (b"
+    assert expressions.check_text("CHECK (((a) or (b)))") == "(a) or (b)" and expressions.check_text("CHECK ((k > 3)) NOT VALID") == "k > 3"
+    assert [str(p) for p in expressions.grouped("a, f(b, c), 'd,e'").parts()] == ["a", " f(b, c)", " 'd,e'"]
+    assert expressions.index_signature("create index i on t (lower(nick) ASC, b desc, \"asc\") where x in ('(', \"w\")", True) == ("index", "unique (lowernick, bdesc, asc) where xin'',w")
+    assert expressions.index_signature("create index broken on t", False) is None
     assert expressions.index_signature('CREATE UNIQUE INDEX i ON t ("A" asc, b)', True) == ("unique", "a,b")
     assert expressions.index_signature("CREATE INDEX i ON public.t USING gin (lower(a)) WHERE (b > 0)", False) == ("index", "gin (lowera) where b>0")
     assert expressions.check_signatures("create table t (a int check (a > 0), check ((b <> 'x)')))") == {"a>0": "a > 0", "b<>'x'": "b <> 'x)'"}
