@@ -35,6 +35,19 @@ import numpy as np
 SPACE, LETTER, DIGIT, OTHER, SPECIAL = range(5)
 #: White space of the tokenizer's patterns (fixed values).
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters, digits and capitals that Unicode has had for less long than Python's tables (fixed values).
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LATER_CASES = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
+LATER_CAPITALS = re.compile("[" + "".join(map(chr, LATER_CASES)) + "]")
 #: The pre-tokenizer's pattern that is compiled here (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level merges spell a byte that prints as itself, any other as the next free character.
@@ -57,6 +70,9 @@ def classes() -> np.ndarray:
     """The class of every code point."""
     kinds = {"L": LETTER, "N": DIGIT}
     found = np.frombuffer(bytes(kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), dtype=np.uint8).copy()
+    for kind, ranges in ((LETTER, LATER_LETTERS), (DIGIT, LATER_DIGITS)):
+        for first, last in ranges:
+            found[first : last + 1] = kind
     found[WHITE_SPACE] = SPACE
     return found
 
@@ -71,6 +87,8 @@ def byte_classes() -> np.ndarray:
 
 def lower_case(text: str) -> str:
     """Each character for itself: the sigma that ends a word is no exception."""
+    if LATER_CAPITALS.search(text):
+        text = text.translate(LATER_CASES)
     return text.replace("Σ", "σ").lower()
 
 
