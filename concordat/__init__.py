@@ -27,6 +27,7 @@ _PUBLIC = {
     "concordat.plans.apps": ("folder_app", "journal_app"),
     "concordat.plans.pooling": ("PoolFiles", "PooledDatabase", "render_pool"),
     "concordat.plans.cli": ("export_main", "main"),
+    "concordat.testing": ("dialects_from_env", "each_store", "open_test_store"),
 }
 _HOME = {name: module for module, names in _PUBLIC.items() for name in names}
 __all__ = sorted(_HOME)

@@ -67,9 +67,24 @@ def nul_scan_conversations(spark, sf_dir):
     return profile.scan_profile(_t(spark, sf_dir, "conversations")).select("nul_text", "nul_role")
 
 
-@_query("select false as bad_utf8_text, false as bad_utf8_source from documents limit 1")
+#: The byte after the first 41 of a text continues a character: these 41 end inside of it.
+_CUT = "substr(hex(encode(text)), 83, 2) between '80' and 'BF'"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Texts cut after 41 bytes, as a store that counts bytes would leave them."""
+    raw = F.substring(F.encode("text", "UTF-8"), 1, 41)
+    return df.withColumn("cut", F.struct(F.lit("text").alias("cls"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("r"), raw.alias("raw")))
+
+
+@_query(f"select false as bad_utf8_text, bool_or({_CUT}) as bad_utf8_cut from documents")
 def utf8_invalid_documents(spark, sf_dir):
-    return profile.scan_profile(_t(spark, sf_dir, "documents"), ["text", "source"]).select("bad_utf8_text", "bad_utf8_source")
+    return profile.scan_profile(_cut(_t(spark, sf_dir, "documents")), ["text", "cut"]).select("bad_utf8_text", "bad_utf8_cut")
+
+
+@_query(f"select doc_id, case when {_CUT} then 'CODEC_INVALID' end as err from documents")
+def utf8_cut_documents(spark, sf_dir):
+    return _cut(_t(spark, sf_dir, "documents")).select("doc_id", codecs.error(_spec("text"), "loose", F.col("cut")).alias("err"))
 
 
 @_query("""select count(*) filter (where length(p_name) > 15) as over_p_name, max(length(p_name)) as longest_p_name,
@@ -136,10 +151,11 @@ def except_documents_labels(spark, sf_dir):
     return keys.missing_and_extra(_t(spark, sf_dir, "labels").select("doc_id"), _t(spark, sf_dir, "documents").select("doc_id"))[0]
 
 
-@_query("select source as id, 'missing' as side from documents where lang = 'en' group by 1 having source not in (select distinct source from documents where lang = 'es') union all select distinct source, 'extra' from documents where lang = 'es' and source not in (select source from documents where lang = 'en')")
-def ledger_difference_sources(spark, sf_dir):
-    ids = _t(spark, sf_dir, "documents").select(F.col("source").alias("id"), "lang")
-    return ledger_difference(ids.filter("lang = 'es'").select("id").distinct(), ids.filter("lang = 'en'").select("id").distinct())
+@_query("""with have as (select distinct cast(o_custkey as varchar) as id from orders), want as (select distinct cast(user_id as varchar) as id from events)
+ select id, 'missing' as side from want where id not in (select id from have) union all select id, 'extra' from have where id not in (select id from want)""")
+def ledger_difference_customers(spark, sf_dir):
+    have, want = (_t(spark, sf_dir, t).select(F.col(c).cast("string").alias("id")).distinct() for t, c in (("orders", "o_custkey"), ("events", "user_id")))
+    return ledger_difference(have, want)
 
 
 @_query("select item_id, cast(row_number() over (order by encode(text), item_id) as bigint) as position from benchmark")
@@ -248,6 +264,15 @@ def codec_json(spark, sf_dir):
     return _read(_t(spark, sf_dir, "events"), "event_id", _spec("json-text", pgType="jsonb"), "loose", cells.text_cell(F.col("props")))
 
 
+@_query("""select doc_id, '{"a":null,"n":[' || n_chars || ',' || n_chars || '.5,-0.0025],"s":{"lang":"' || lang || '","source":"' || source || '"}}' as canonical,
+ cast(null as varchar) as err from documents""")
+def codec_json_nested(spark, sf_dir):
+    """Keys in any order, spaces, exponents and trailing zeros."""
+    n = F.col("n_chars").cast("string")
+    text = F.concat(F.lit('{ "s" : {"source": "'), "source", F.lit('", "lang": "'), "lang", F.lit('"},\n "n": ['), n, F.lit(", "), n, F.lit('.50, -2.5e-3 ], "a": null }'))
+    return _read(_t(spark, sf_dir, "documents"), "doc_id", _spec("json-text", pgType="jsonb"), "loose", cells.text_cell(text))
+
+
 @_query("""select d.doc_id, cast(l.quality as varchar) as canonical, case when l.quality is null then 'CODEC_NULL' end as err from documents d left join labels l on l.doc_id = d.doc_id""")
 def codec_null(spark, sf_dir):
     df = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")

@@ -28,7 +28,7 @@ from concordat.operators.topology import load_topology
 from concordat.plans import render
 from concordat.plans.execute import Hooks, execute, execute_into
 from concordat.plans.export import ExportApp, build_template, export
-from concordat.plans.plan import Options, Target, build_plan
+from concordat.plans.plan import Options, Target, build_plan, duration
 from concordat.plans.pooling import PooledDatabase, render_pool
 from concordat.plans.reverse import ReverseResult, reverse
 from concordat.plans.target import read_target, session_reader
@@ -100,18 +100,17 @@ def _recorded_target(path: str) -> Target:
     return Target(**given)
 
 
-def _asked_target(spark: SparkSession, config: PostgresConfig, manifest: Manifest) -> Target:
+def _asked_target(spark: SparkSession, config: PostgresConfig, manifest: Manifest, with_sequences: bool = False) -> Target:
     session = database.JdbcSession.to(spark, config)
     try:
         session.execute("set transaction isolation level repeatable read, read only")
-        return read_target(spark, config.host, config.port, manifest.tables, session_reader(spark, session))
+        return read_target(spark, config.host, config.port, manifest.tables, session_reader(spark, session), with_sequences=with_sequences)
     finally:
         session.close()
 
 
 def _options(args: argparse.Namespace) -> Options:
-    if not 0 <= args.commit_poll_seconds < float("inf"):
-        raise Refused(Refusal("invalid-option", None, None, "commit-poll-seconds"))
+    duration("commit-poll-seconds", args.commit_poll_seconds)
     return Options(truncate=args.truncate, slot_bytes=args.max_slot_bytes, topology=tuple(load_topology(args.topology)) if args.topology else None, confirm_production=args.confirm_production)
 
 
@@ -140,9 +139,9 @@ def _forward(args: argparse.Namespace, env: Mapping[str, str], spark: SparkSessi
 def _backward(args: argparse.Namespace, env: Mapping[str, str], spark: SparkSession, say: Say, warn: Say, run: Callable[..., ReverseResult]) -> int:
     manifest = load_manifest(args.manifest)
     config = None if args.strict_facts else strict_config(env, SOURCE_URL, "source")
-    target = _asked_target(spark, config, manifest) if config else _recorded_target(args.strict_facts)
+    target = _asked_target(spark, config, manifest, True) if config else _recorded_target(args.strict_facts)
     tables = {t: read_parquet(spark, args.folder, t) for t in manifest.tables} if args.folder else jdbc.read_all(spark, manifest, config)
-    result = run(spark, tables, manifest, target, args.sqlite_template, args.to_sqlite, dry_run=args.dry_run, receipt_path=args.receipt, work_dir=args.work_dir)
+    result = run(spark, tables, manifest, target, args.sqlite_template, args.to_sqlite, sequences=target.sequence_states, dry_run=args.dry_run, receipt_path=args.receipt, work_dir=args.work_dir)
     say(render.to_json(result) if args.json else render.reverse_text(result))
     if result.warnings and not args.json:
         warn(f"IN PLACE WITH WARNINGS: {', '.join(result.warnings)}")
@@ -256,10 +255,10 @@ def export_main(
         if connect:
             tables, ledger, target = connect(spark, config, manifest)
         else:
-            target = _asked_target(spark, config, manifest)
+            target = _asked_target(spark, config, manifest, True)
             tables = jdbc.read_all(spark, manifest, config)
             ledger = spark.read.format("jdbc").options(**config.jdbc, query=app.ledger_query).load()
-        done = export(spark, app, tables, ledger, target, args.path, dry_run=args.dry_run)
+        done = export(spark, app, tables, ledger, target, args.path, sequences=target.sequence_states, dry_run=args.dry_run)
         say(json.dumps({"ok": True, "command": args.command, "outcome": done.outcome, "path": done.path, "receipt_path": done.receipt_path, "tables": len(done.tables), "rows": done.totals.get("rows", 0), "sequences": done.sequences, "warnings": [scrubbed(w, url) for w in done.warnings]}))
         return 3 if done.warnings else 0
     except Exception as e:

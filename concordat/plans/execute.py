@@ -17,7 +17,7 @@ from concordat.functions import codecs
 from concordat.manifest import Manifest, TableSpec
 from concordat.operators import catalog, gate, keys, reconcile
 from concordat.plans import target as target_facts
-from concordat.plans.plan import Options, Plan, Target, build_plan, source_tables
+from concordat.plans.plan import Options, Plan, Target, build_plan, duration, source_tables, whole
 from concordat.sinks import database, jdbc
 from concordat.sinks.staged import Receipt, StagedFolder, write_receipt
 from concordat.sources.urls import PostgresConfig
@@ -79,6 +79,8 @@ def execute_into(
     """Plan, load aside in parallel, verify there, and publish in one transaction of the target database. A dry
     run rolls that transaction back. The last arguments are seams: how sessions are opened, and how
     executors write and read a table."""
+    whole("lock_timeout_ms", lock_timeout_ms)
+    duration("commit_poll_seconds", commit_poll_seconds)
     run_id, started, began = str(uuid.uuid4()), datetime.now(UTC).isoformat(), time.monotonic()
     opened = open_session or (lambda: database.JdbcSession.to(spark, config))
     session, aside = opened(), database.aside_schema(run_id)
@@ -173,7 +175,7 @@ def execute(
     plan = build_plan(spark, snapshot_path, manifest, target, options, {"sha256": snapshot_sha256})
     if not plan.ok:
         raise Refused(plan.refusals[0])
-    staged = StagedFolder(folder)
+    staged = StagedFolder(spark, folder)
     sources = source_tables(spark, snapshot_path, manifest)
     result = Result("dry-run" if dry_run else "committed", run_id, plan=plan)
     began, outcome = time.monotonic(), "failed"

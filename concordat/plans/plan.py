@@ -12,6 +12,18 @@ from concordat.operators import gate, keys, profile, reconcile, sequences, topol
 from concordat.sources import sqlite
 
 
+def whole(name: str, value: object, least: int = 1) -> None:
+    """An option that has to be a whole number, and never a truth value in its place."""
+    if isinstance(value, bool) or not isinstance(value, int) or value < least:
+        raise Refused(Refusal("invalid-option", None, None, name))
+
+
+def duration(name: str, value: object) -> None:
+    """An option that has to be a finite number of seconds; what is not a number would wait for ever or not at all."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value < float("inf"):
+        raise Refused(Refusal("invalid-option", None, None, name))
+
+
 @dataclass
 class Target:
     """The strict side: where it is, what it says of itself, its columns and its catalog facts."""
@@ -25,6 +37,7 @@ class Target:
     foreign_keys: list[dict] = field(default_factory=list)
     in_recovery: bool = False
     server_version: str = ""
+    sequence_states: dict[str, dict] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -36,8 +49,7 @@ class Options:
     check_codecs: bool = True
 
     def __post_init__(self):
-        if isinstance(self.slot_bytes, bool) or not isinstance(self.slot_bytes, int) or self.slot_bytes < 0:
-            raise Refused(Refusal("invalid-option", None, None, "slot_bytes"))
+        whole("slot_bytes", self.slot_bytes, 0)
 
 
 @dataclass

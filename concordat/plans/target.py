@@ -141,8 +141,20 @@ def non_empty_tables(read: Read, spark: SparkSession, schema: str, tables: Itera
     return read(" union all ".join(parts), "table string") if parts else spark.createDataFrame([], "table string")
 
 
-def read_target(spark: SparkSession, host: str, port: int, tables: Iterable[str], read: Read, schema: str = "public") -> Target:
-    """Everything a plan asks of the strict side. A standby is not read any further."""
+def sequence_states(read: Read, facts: Mapping[str, DataFrame]) -> dict[str, dict]:
+    """What the sequences that copied tables own have issued: ``{table: {last_value, called, increment}}``."""
+    copied = facts["tables"].select(F.col("oid").alias("table_oid"), F.col("name").alias("table"))
+    owned = facts["sequence_refs"].filter("kind = 'owner'").join(copied, "table_oid").orderBy("sequence_oid").collect()
+    if not owned:
+        return {}
+    parts = [f"select {k} as place, last_value::bigint as last_value, is_called as called from {quoted(r['schema'])}.{quoted(r['name'])}" for k, r in enumerate(owned)]
+    found = {r["place"]: r for r in read(" union all ".join(parts), "place int, last_value bigint, called boolean").collect()}
+    return {r["table"]: {"last_value": found[k]["last_value"], "called": found[k]["called"], "increment": r["increment"]} for k, r in enumerate(owned)}
+
+
+def read_target(spark: SparkSession, host: str, port: int, tables: Iterable[str], read: Read, schema: str = "public", with_sequences: bool = False) -> Target:
+    """Everything a plan asks of the strict side. A standby is not read any further. The way back also asks
+    what sequences have issued."""
     names, identity = list(tables), read_identity(read)
     target = Target(host, port, identity.database, identity.system_identifier, in_recovery=identity.in_recovery, server_version=identity.server_version)
     if identity.in_recovery:
@@ -154,6 +166,8 @@ def read_target(spark: SparkSession, host: str, port: int, tables: Iterable[str]
         present = [r["name"] for r in target.facts["tables"].collect()]
         target.facts["non_empty_tables"] = non_empty_tables(read, spark, schema, present)
         target.foreign_keys = [r.asDict() for r in target.facts["foreign_keys"].collect()]
+        if with_sequences:
+            target.sequence_states = sequence_states(read, target.facts)
     except Refused:
         raise
     except Exception:
@@ -161,7 +175,7 @@ def read_target(spark: SparkSession, host: str, port: int, tables: Iterable[str]
     return target
 
 
-def recorded(frames: Mapping[str, DataFrame], identity: Identity, filled: Iterable[str] = ()) -> Read:
+def recorded(frames: Mapping[str, DataFrame], identity: Identity, filled: Iterable[str] = (), issued: Iterable[tuple] = ()) -> Read:
     """A reader that answers from frames: a catalog that was written down, or a test's."""
     queries = {raw_query(n, identity.version_number): n for n in RAW}
     spark = next(iter(frames.values())).sparkSession
@@ -173,6 +187,8 @@ def recorded(frames: Mapping[str, DataFrame], identity: Identity, filled: Iterab
             return frames[queries[query]]
         if query.startswith("select 1 "):
             return spark.range(1).withColumnRenamed("id", "one")
+        if "last_value" in query:
+            return spark.createDataFrame([(k, *r) for k, r in enumerate(issued)], schema)
         return spark.createDataFrame([(t,) for t in filled if f"'{t}'" in query], "table string")
 
     return read

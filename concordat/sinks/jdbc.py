@@ -16,6 +16,8 @@ def quoted(name: str) -> str:
 def load(df: DataFrame, table: TableSpec, config: PostgresConfig, schema: str = "public", batch_rows: int = 10_000, truncate: bool = False) -> None:
     """Append the written columns, in batches and one connection a partition; with ``truncate`` the table
     is emptied first and keeps its definition."""
+    if isinstance(batch_rows, bool) or not isinstance(batch_rows, int) or batch_rows < 1:
+        raise Refused(Refusal("invalid-option", None, None, "batch_rows"))
     names = [c.name for c in table.written]
     options = config.jdbc | {"dbtable": f"{quoted(schema)}.{quoted(table.name)}", "batchsize": str(batch_rows), "isolationLevel": "READ_COMMITTED", "stringtype": "unspecified"}
     if truncate:

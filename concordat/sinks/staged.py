@@ -5,11 +5,10 @@ from __future__ import annotations
 import contextlib
 import json
 import os
-import shutil
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from concordat.errors import OutcomeError, Refusal, Refused
 
@@ -71,32 +70,55 @@ def write_receipt(receipt: Receipt, path: str) -> None:
 class StagedFolder:
     """Tables written as Parquet into a folder aside; ``commit`` renames it to its name.
 
-    The rename is the one moment of publication: before it the target is as it was."""
+    The rename is the one moment of publication: before it the target is as it was. All of it goes through
+    Hadoop's file system of the target, so the folder may be local or on a store that the executors share.
+    On stores without an atomic rename of folders the moment is as long as the rename."""
 
-    def __init__(self, target: str):
+    def __init__(self, spark: SparkSession, target: str):
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
         self.target = target.rstrip("/")
         self.staged = f"{self.target}.staged-{uuid.uuid4().hex}"
+        self._files = self._path(self.target).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, table: str) -> str:
         path = f"{self.staged}/{table}.parquet"
         df.write.mode("error").parquet(path)
         return path
 
+    def _there(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def _moved(self, source: str, target: str) -> bool:
+        """Never into a folder that is there already, as Hadoop's rename would do."""
+        return not self._there(target) and self._files.rename(self._path(source), self._path(target))
+
     def commit(self, run_id: str, truncate: bool = False) -> str:
         old = f"{self.target}.replaced-{run_id}"
         try:
-            if os.path.lexists(self.target):
-                if not truncate and os.listdir(self.target):
+            replaced = self._there(self.target)
+            if replaced:
+                if not truncate and len(self._files.listStatus(self._path(self.target))):
                     raise Refused(Refusal("target-not-empty"))
-                os.rename(self.target, old)
-            os.rename(self.staged, self.target)
-        except OSError:
-            if os.path.lexists(self.target):
-                raise OutcomeError("unknown", run_id) from None
-            if os.path.lexists(old):
-                os.rename(old, self.target)
-            raise OutcomeError("aborted", run_id) from None
+                if not self._moved(self.target, old):
+                    raise OSError
+            if not self._moved(self.staged, self.target):
+                raise OSError
+        except Refused:
+            raise
+        except Exception:
+            raise OutcomeError(self._settled(old), run_id) from None
         return "committed"
 
+    def _settled(self, old: str) -> str:
+        """After a failed rename: the old folder is put back if the new one is not there."""
+        try:
+            if self._there(self.target):
+                return "unknown" if self._there(old) else "aborted"
+            return "aborted" if not self._there(old) or self._moved(old, self.target) else "unknown"
+        except Exception:
+            return "unknown"
+
     def abort(self) -> None:
-        shutil.rmtree(self.staged, ignore_errors=True)
+        with contextlib.suppress(Exception):
+            self._files.delete(self._path(self.staged), True)

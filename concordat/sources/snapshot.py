@@ -7,6 +7,7 @@ import os
 import shutil
 import sqlite3
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from concordat.errors import Refusal, Refused
@@ -49,9 +50,9 @@ def _audit(path: str) -> None:
         db.close()
 
 
-def take_snapshot(live: str, *, writers_stopped: bool, work_dir: str | None = None) -> Snapshot:
+def take_snapshot(live: str, *, writers_stopped: bool, work_dir: str | None = None, copy_file: Callable[[str, str], object] = shutil.copyfile) -> Snapshot:
     """Checkpoint, hold the write lock, copy, and compare the live file's stamps before and after. The
-    folder for the copy has to be one that executors see."""
+    folder for the copy has to be one that executors see; ``copy_file`` is a seam."""
     if not writers_stopped:
         raise Refused(Refusal("writers-not-stopped"))
     if not os.path.isfile(live):
@@ -72,7 +73,7 @@ def take_snapshot(live: str, *, writers_stopped: bool, work_dir: str | None = No
             raise Refused(Refusal("live-writer-active")) from None
         before = _stamp(live)
         try:
-            shutil.copyfile(live, copy)
+            copy_file(live, copy)
         except OSError:
             raise Refused(Refusal("snapshot-failed")) from None
         if _stamp(live) != before or file_sha256(copy) != before[2]:

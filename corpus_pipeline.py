@@ -3,7 +3,14 @@
 Quality rules and the quality classifier drop what they reject, the n-gram join leaves one document
 of each near-duplicate class, decontamination drops documents that hold a benchmark item, and
 packing turns the rest into pieces of token sequences. All stages but the last return the columns of
-``documents``.
+``documents``, further ones of any name included.
+
+Defined results: null and empty texts go with the quality rules, as does any text of under twenty words;
+rows with a null id are judged like others, all of them stay in the join stage, and packing gives them
+null ids; rows that repeat an id are rows of their own, of which one of each text stays; of copies the
+smallest id stays; an empty table, or one of which a stage leaves nothing, gives an empty result; without
+any good label the classifier keeps everything, without benchmark items decontamination does; texts of
+any length are read whole.
 """
 
 from __future__ import annotations

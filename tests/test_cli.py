@@ -8,6 +8,7 @@ import stat
 import pytest
 
 import concordat
+from concordat import testing
 from concordat.errors import OutcomeError, Refused, ToolkitError
 from concordat.operators import gate
 from concordat.plans import apps, cli
@@ -187,6 +188,31 @@ def test_export_command(spark, place):
     assert not any("pw" in x for x in heard.out + heard.err)
 
 
+@testing.each_store("sqlite", env={})
+def test_each_store(store, spark):
+    path = store.url.removeprefix("file:")
+    sqlite3.connect(path).executescript(DDL + "insert into notes values (1, 'x');")
+    assert store.dialect == "sqlite" and store.open(spark).table("notes").count() == 1
+
+
+def test_dialects(spark):
+    assert testing.dialects_from_env({}) == testing.DIALECTS and testing.dialects_from_env({testing.WHICH: " postgres "}) == ("postgres",)
+    with pytest.raises(ToolkitError):
+        testing.dialects_from_env({testing.WHICH: "sqlight"})
+    with pytest.raises(ToolkitError), testing.open_test_store("postgres", spark, {}):
+        pass
+    said = []
+
+    class Told:
+        execute = staticmethod(said.append)
+        close = staticmethod(lambda: said.append("close"))
+
+    with testing.test_database(spark, "postgres://u:p%40@h:1/admin", lambda spark, config: Told()) as url:
+        name = concordat.parse_database_url(url).database
+        assert name.startswith("concordat_test_") and concordat.parse_database_url(url).password == "p@"
+    assert said == ["commit", f'create database "{name}"', "close", "commit", f'drop database if exists "{name}" with (force)', "close"]
+
+
 def test_public_names():
     for name in concordat.__all__:
         assert getattr(concordat, name) is not None

@@ -42,6 +42,8 @@ def test_target_from_a_recorded_catalog(spark):
     direct = catalog.Catalog(frames(spark), tables=fixtures.CATALOG_TABLES, database="app")
     for name in ("tables", "sequence_refs", "volatile_expressions", "dynamic_sequence_defaults", "adopting_publications"):
         assert target.facts[name].collect() == catalog.FACTS[name](direct).collect()
+    again = facts.read_target(spark, "h", 5432, fixtures.CATALOG_TABLES, facts.recorded(frames(spark), IDENTITY, issued=[(41, True)]), with_sequences=True)
+    assert again.sequence_states == {"orders": {"last_value": 41, "called": True, "increment": 1}}
     standby = facts.read_target(spark, "h", 1, ["orders"], facts.recorded(frames(spark), facts.Identity("7", "d", None, None, True, "18", 180_000)))
     assert standby.in_recovery and not standby.facts
 
@@ -160,6 +162,18 @@ def test_a_lost_commit_is_looked_up():
     assert database.commit_outcome(dead, lambda: fresh, "77", 5, 0) == "committed" and dead.said[-1] == "close"
 
 
+def test_options_that_make_no_sense(spark, tmp_path):
+    config = PostgresConfig("h", 5432, "app", "u", "p", "disable")
+    for given in ({"lock_timeout_ms": 0}, {"lock_timeout_ms": True}, {"commit_poll_seconds": float("nan")}, {"commit_poll_seconds": -1}):
+        with pytest.raises(Refused, match="invalid-option"):
+            execute_into(spark, "x", MANIFEST, config, **given)
+    for given in ({"slot_bytes": -1}, {"slot_bytes": True}, {"slot_bytes": 1.5}):
+        with pytest.raises(Refused, match="invalid-option"):
+            Options(**given)
+    with pytest.raises(Refused, match="invalid-option"):
+        jdbc.load(None, MANIFEST.tables["a"], config, batch_rows=0)
+
+
 def test_pages_are_cut_into_ranges():
     assert jdbc.page_ranges(0, 4) == ["ctid >= '(0,0)'::tid"]
     assert jdbc.page_ranges(10, 3) == ["ctid >= '(0,0)'::tid and ctid < '(4,0)'::tid", "ctid >= '(4,0)'::tid and ctid < '(8,0)'::tid", "ctid >= '(8,0)'::tid"]
