@@ -313,7 +313,7 @@ def _verify(config: JoinConfig):
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Components of the graph of ``(cls, root)`` edges as ``(cls, comp)``, ``comp`` being the least
-    name. Large-star and small-star steps alternate until the edges stay as they are; each round
+    name. Large-star and small-star steps alternate until the edges stay as they are; every other round
     is written to the shared folder."""
 
     def large(e: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before, turn = None, 0
     while (state := mark(now)) != before:
         before, turn = state, turn + 1
-        after = scratch.write(small(large(now)), f"edges-{turn}")
+        after = scratch.write(small(large(small(large(now)))), f"edges-{turn}")
         scratch.drop(f"edges-{turn - 1}")
         now = after
     return now.toDF("cls", "comp")
@@ -364,14 +364,12 @@ def _leaves(classes: DataFrame, config: JoinConfig, scratch: Scratch) -> DataFra
         kids = scratch.write(here.select("cls", "node", "n", F.explode(F.array_distinct(tokens)).alias("child")), f"kids-{depth}")
         counts = scratch.write(kids.groupBy("node", "child").agg(F.count("*").alias("k"), F.first("n").alias("n")), f"counts-{depth}")
         left = F.sum(F.col("k").cast("double") * F.col("k")) / (F.first("n").cast("double") * F.first("n"))
-        split = scratch.write(counts.groupBy("node").agg(left.alias("left")), f"split-{depth}")
+        split = counts.groupBy("node").agg(left.alias("left"))  # one row for each node of more than ``small`` sets
         done = F.col("left") > config.worth if depth < config.max_depth else F.lit(True)
         leaves = leaves.union(large.join(split.filter(done).select("node"), "node").select("cls", F.col("node").alias("leaf")))
         if depth >= config.max_depth:
             break
         going = counts.filter("k > 1").join(split.filter(~done).select("node"), "node", "left_semi").select("node", "child", "k")
-        going = scratch.write(going, f"going-{depth}")
-        scratch.drop(f"counts-{depth}")
         live = scratch.write(kids.join(going, ["node", "child"]).select("cls", F.col("child").alias("node"), F.col("k").alias("n")), f"level-{depth}")
         scratch.drop(f"kids-{depth}")
         leaves = leaves.union(live.filter(F.col("n") <= config.small).select("cls", F.col("node").alias("leaf")))
@@ -403,9 +401,10 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> t
     facts = classes.select("cls", "rep", "size", F.substring("pay", 8 * config.runs + 1, BITS // 8).alias("bits"))
     facts = scratch.write(lists.join(facts, "cls"), "members")
     cut = leaves.join(facts.select("cls", "size"), "cls").groupBy("leaf").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    pieces = F.greatest(F.ceil(F.col("n") / config.block_sets), F.ceil(F.col("total") / config.block_shingles), F.lit(1)).cast("int")
-    blocks = scratch.write(cut.select("leaf", pieces.alias("pieces")), "blocks")
-    own = leaves.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("cls", "leaf"), F.col("pieces")).cast("int"))
+    pieces = F.greatest(F.ceil(F.col("n") / config.block_sets), F.ceil(F.col("total") / config.block_shingles)).cast("int")
+    blocks = scratch.write(cut.select("leaf", pieces.alias("cut")).filter("cut > 1"), "blocks")  # few: each holds a block at least
+    own = leaves.join(blocks, "leaf", "left").withColumn("pieces", F.coalesce("cut", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("cls", "leaf"), F.col("pieces")).cast("int"))
     spread = own.select("cls", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     units = spread.select("cls", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block")
     key = ["leaf", "one", "two"]
@@ -430,7 +429,8 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> t
     degree = links.groupBy("cls").agg(F.sum("deg").alias("n_links"))
     known = classes.select("cls", "rep", "n_copies").join(degree, "cls", "left").join(member, "cls", "left")
     known = known.select("cls", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("low", "rep").alias("class_id"), F.coalesce("comp", "cls").alias("comp"))
-    return rows.select("id", "cls"), known
+    # Written, so that a join of the rows with it is one of plain shuffles: Spark splits the text that has the most copies.
+    return rows.select("id", "cls"), scratch.write(known, "known")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: JoinConfig = JoinConfig()) -> DataFrame:

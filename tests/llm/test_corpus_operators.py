@@ -233,6 +233,19 @@ def test_machine_matches_library(reader):
         assert small.counts([raw[k] for k in some], size) == [len(want[k]) for k in some]
 
 
+def test_machine_on_all_scripts(reader):
+    """Characters of all planes, those that Python's tables do not know yet included; combining marks of such
+    tables may come in another order, so marks are left to the test above."""
+    import unicodedata
+
+    draw = random.Random(15)
+    low, high = [chr(c) for c in range(32, 0x250)], [chr(c) for c in [*range(0x250, 0xD800), *range(0xE000, 0x20000)] if unicodedata.category(chr(c))[0] != "M"]
+    texts = ["".join(draw.choice(low if draw.random() < 0.6 else high) for _ in range(draw.randint(1, 12))) for _ in range(6000)]
+    texts += ["a" + chr(c) + "1" for first, last in machine.LATER_LETTERS + machine.LATER_DIGITS for c in (first, last)] + [chr(c) + "b" for c in machine.LATER_CASES]
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in reader.ids([t.encode() for t in texts])] == want
+
+
 def test_merges_against_plain_merging():
     """Whether tokens are made of their symbols, and whether two stay apart, by merging in full."""
     merges, draw = machine.Merges(PATH), random.Random(7)

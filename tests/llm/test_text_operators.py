@@ -48,6 +48,13 @@ def test_quality_measures(spark, docs):
     assert quality_rules.quality_metrics(docs.limit(0)).count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    texts = [" ".join(f"w{k}" for k in range(150_000)), "one two three four five six seven eight " * 20_000, "x" * 400_000, "line of words here\n" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.quality_metrics(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(texts[r.doc_id])
+
+
 def test_quality_plan_is_one_projection(docs):
     plan = quality_rules.filter_quality(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
@@ -80,6 +87,14 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_very_long_urls(spark):
+    path = "/en/" + "a-b/" * 50_000
+    df = spark.createDataFrame([(1, f"http://x.example.net{path}"), (2, f"http://x.example.com{path}?{path}"), (3, "http://" + "sub." * 20_000 + "net/")], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    assert [found[k].verdict for k in (1, 2, 3)] == ["allow", "allow", "block"] and found[1].path == found[2].path == path
+    assert found[1].rule == "example.net/en/" and found[3].rule == "net/"
+
+
 def test_url_index_without_broadcast_and_tokenless_rules(spark):
     any_digit = url_filter.Rule("digits", "block", r".*[0-9]{5}", (), False)
     df = spark.createDataFrame([(1, "http://a.com/12345"), (2, "http://a.com/1"), (3, "http://a.net/12345")], "page_id long, url string")
