@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Scratch tables of the steps that are under way, innermost last.
+_STEPS: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def one_step() -> Iterator[None]:
+    """A step whose result is written when it ends: all scratch tables that were made on the way go with it."""
+    _STEPS.append([])
+    try:
+        yield
+    finally:
+        for made in _STEPS.pop():
+            drop_path(made.spark, made.root)
+
+
 class Scratch:
-    """Written tables of one operator call. They last as long as the session, because what is returned
-    is lazy; ``drop`` frees those that only a finished step needed."""
+    """Written tables of one operator call. They last as long as the session or the step around them,
+    because what is returned is lazy; ``drop`` frees those that only a finished part needed."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(drop_path, spark, self.root)
+        if _STEPS:
+            _STEPS[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

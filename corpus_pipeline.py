@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm import decontamination, ngram_join, packing, quality_rules, resampling
-from concordat.llm.common import Scratch
+from concordat.sources.scratch import Scratch, one_step
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; the tables between them go to the shared scratch folder."""
+    """Apply all stages to ``documents``. The table between two stages lies in the shared scratch folder until
+    the one after it is written; what a stage needed for itself goes when it is done."""
     scratch = Scratch(spark, "pipeline")
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with one_step():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

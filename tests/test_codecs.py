@@ -102,30 +102,3 @@ def test_number_text_round_trips():
         x = draw.choice([draw.random() * 10 ** draw.randint(-320, 300), float(draw.randint(-(10**18), 10**18))])
         assert float(exact.number_text(x)) == x
         assert float(exact.plain_decimal(repr(x))) == x
-
-
-def test_plain_json_takes_the_short_way(spark):
-    """Objects of plain members by expressions, everything by the parser, the same."""
-    import random
-
-    draw = random.Random(12)
-    names = ["a", "a b", "b", "A", "z-1", "", "ä", "q\\n"]
-    scalars = ["0", "-0", "12", "-7", "1.50", "1e3", "true", "null", '""', '"x y"', '"ü"', '"\\""', "[]", "{}", "00", "+1", "9" * 19, "tru", '"a":1', '"\t"']
-    gap = lambda: draw.choice(["", " ", "\n ", "\t"])
-    texts = []
-    for _ in range(1500):
-        members = [f'{gap()}"{draw.choice(names)}"{gap()}:{gap()}{draw.choice(scalars[: draw.choice([4, 12, 20])])}{gap()}' for _ in range(draw.randint(0, 4))]
-        texts.append(gap() + "{" + ",".join(members) + draw.choice(["", "", "", ","]) + "}" + gap())
-    texts += ["{}", "{ }", "null", "[1]", '{"a":1}x', '{"a":1,}', "{,}", '{"a" 1}', None]
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-
-    def plain(text, canonical, duplicates):
-        try:
-            return None if text is None else exact.json_text(text, canonical, duplicates)
-        except exact.Invalid:
-            return None
-
-    for short, canonical, duplicates in ((exact.json_kept, False, True), (exact.json_unique, False, False), (exact.json_canonical, True, False)):
-        found = [r.x for r in df.select("k", short(F.col("t")).alias("x")).orderBy("k").collect()]
-        assert found == [plain(t, canonical, duplicates) for t in texts]
-    assert df.filter(F.col("t").rlike(exact._FLAT)).count() > 200

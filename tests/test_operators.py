@@ -216,3 +216,22 @@ def test_schema_comparison_of_a_real_file(spark, tmp_path):
     worse = strict_model(columns[:2], [("users", ["id"])], indexes[:1], [])
     left, report = compare(spark, sqlite.schema_model(path) + worse, [("check", None, None)])
     assert [d["kind"] for d in left] == ["column-missing", "index"] and report.startswith("schemas differ: 2 differences")
+
+
+def test_scratch_tables_go_with_their_step(spark):
+    import os
+
+    from concordat.sources.scratch import Scratch, one_step
+
+    at = lambda s: s.path("t").removeprefix("file://")
+    outer = Scratch(spark, "outer")
+    with one_step():
+        inner = Scratch(spark, "inner")
+        kept = outer.write(inner.write(spark.range(3).toDF("k"), "t").filter("k > 0"), "t")
+        assert os.path.isdir(at(inner))
+    assert kept.count() == 2 and not os.path.exists(at(inner)) and os.path.isdir(at(outer))
+    with pytest.raises(ZeroDivisionError), one_step():
+        lost = Scratch(spark, "lost")
+        lost.write(spark.range(1), "t")
+        1 / 0  # noqa: B018
+    assert not os.path.exists(at(lost))
