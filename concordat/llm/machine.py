@@ -135,7 +135,6 @@ class Merges:
         self.lengths = np.zeros(size, dtype=np.int64)
         for token, symbols in self.symbols.items():
             self.lengths[token] = len(symbols)
-        self._apart: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
 
     def _meet(self, a: int, b: int, until: int) -> bool:
@@ -156,15 +155,7 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether two tokens that follow each other stay as they are."""
-        key = a << 32 | b
-        found = self._apart.get(key)
-        if found is None:
-            found = self._apart[key] = not self._meet(a, b, len(self.merged) + 1)
-        return found
-
-    def forget(self) -> None:
-        """Drop the answers about pairs, of which there may be any number."""
-        self._apart.clear()
+        return not self._meet(a, b, len(self.merged) + 1)
 
     def sound(self, token: int) -> bool:
         """Whether the merges make this token of its own symbols."""
@@ -232,18 +223,17 @@ class Prefixes:
 
 
 class Machine:
-    """``most_states`` bounds the table: a state, its transitions and the pairs met on the way take some 500
-    bytes together.
+    """``most_states`` bounds the table: a state and its transitions take some 400 bytes together.
 
     A state is kept as one flat tuple: its node, the token that ends there, and for each of the node's
     suffixes, the longest first, the token that ends before it and the change in the number of tokens
     from here back to there."""
 
-    def __init__(self, path: str, most_states: int = 300_000):
+    def __init__(self, path: str, most_states: int = 200_000):
         self.merges = Merges(path)
         self.tree = Prefixes(self.merges)
         self.most_states = most_states
-        self.merges.symbols = {}  # only the tree needs them
+        self.merges.symbols, self.merges._sound = {}, {}  # only the tree needs them
         self.lengths = self.merges.lengths
         self.alone = {b[0] + LAST: token for b, token in self.merges.special.values()}
         self.lengths[list(self.alone.values())] = 1
@@ -256,7 +246,6 @@ class Machine:
         self.ends = np.full(1 << 12, -1, dtype=np.int32)  # the token that ends at each state
         self.used, self.bits = 0, 14
         self.keys, self.values = np.full(1 << self.bits, FREE), np.zeros(1 << self.bits, dtype=np.int64)
-        self.merges.forget()
         self._state((0, -1))
 
     def _state(self, key: tuple[int, ...]) -> int:

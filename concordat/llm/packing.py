@@ -35,7 +35,7 @@ class PackConfig:
     tokenizer: str = "word_bpe_49k.json"
     window: int = 2048
     end_id: int = 1
-    most_states: int = 300_000
+    most_states: int = 200_000
     chunk_bytes: int = 1 << 20
 
 

@@ -37,7 +37,7 @@ class TokenConfig:
     tokenizer: str = "word_bpe_49k.json"
     limit: int = 2048
     chunk_bytes: int = 1 << 16
-    most_states: int = 300_000
+    most_states: int = 200_000
 
 
 def tokenizer_path(name: str) -> str:
