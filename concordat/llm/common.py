@@ -5,6 +5,7 @@ Conventions used by every operator of this package:
 * Input columns are picked by name and copied to private names first, so further columns
   of the input, whatever they are called, are never touched.
 * A null text counts as an empty text; a null id stays null in the result.
+* Where a text goes to Python, bytes that are no UTF-8 count as U+FFFD; columns that are carried along keep them.
 * Intermediate tables are Parquet files below ``spark.checkpoint.dir``, a folder that the
   driver and all executors share, so a lost executor costs a re-read and nothing else.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from concordat.functions.expressions import let
 from concordat.sources.scratch import Scratch
 
-__all__ = ["Scratch", "free_name", "let", "maybe_in", "mix64", "shingle_hashes", "tidy", "word_hashes"]
+__all__ = ["Scratch", "free_name", "let", "maybe_in", "mix64", "shingle_hashes", "tidy", "valid_text", "word_hashes"]
 
 MASK = (1 << 64) - 1
 def free_name(df: DataFrame, stem: str) -> str:
@@ -34,6 +35,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def valid_text(text: Column) -> Column:
+    """The text as Python can read it: bytes that are no UTF-8 become U+FFFD. Spark's strings may hold any bytes."""
+    return F.make_valid_utf8(text)
+
+
 FILTER_SEED = 90_107
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, tidy, word_hashes
+from concordat.llm.common import Scratch, free_name, maybe_in, mix64, shingle_hashes, tidy, valid_text, word_hashes
 
 BITS = 128
 COORDS = 48
@@ -385,14 +385,14 @@ def digest_of(text: Column, width: int) -> Column:
         sets = (shingle_set(t.as_py(), width) for t in texts)
         return pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
 
-    return named(text)
+    return named(valid_text(text))
 
 
 def _judge(docs: DataFrame, id_col: str, text_col: str, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
     """The rows as ``(id, cls)`` and what is known of each shingle set: ``(cls, rep, n_copies, n_links,
     class_id, comp)``; ``rep`` is the smallest id of its rows, ``comp`` the name of its class."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(F.col(text_col)).alias("text"))
     rows = scratch.write(slim.mapInArrow(tidy(_embed(config)), "id long, cls binary, size int, pay binary"), "rows")
     classes = scratch.write(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.max("pay").alias("pay")), "classes")
     leaves = _leaves(classes, config, scratch)

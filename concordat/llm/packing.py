@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, tidy
+from concordat.llm.common import Scratch, tidy, valid_text
 from concordat.llm.machine import machine
 from concordat.llm.tokens import WHITE, byte_texts, tokenizer_path
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config
     """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``,
     ``offset``, and the ids as little-endian 32-bit numbers if asked for."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(F.col(text_col)).alias("text"))
     rows = Scratch(spark, "packing").write(slim.mapInArrow(tidy(_tokenise(config)), "id long, part int, local long, n long, ids binary"), "ids")
     base, total = {}, 0
     for part, n in sorted(rows.groupBy("part").agg(F.sum("n")).collect()):

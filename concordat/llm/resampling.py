@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import Scratch, free_name, mix64, tidy, word_hashes
+from concordat.llm.common import Scratch, free_name, mix64, tidy, valid_text, word_hashes
 
 
 #: Above the bits of any key.
@@ -105,7 +105,7 @@ class Model:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), valid_text(F.col(text_col)).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ResamplingConfig, id_col: str, text_col: str) -> Model | None:
@@ -213,4 +213,4 @@ def filter_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         parts = [ordered_bits(score(ids.slice(at, 512).to_pylist(), texts.slice(at, 512).to_pylist())[2]) >= least for at in range(0, len(ids), 512)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0, bool), pa.bool_())
 
-    return docs.filter(stays(F.col(id_col).cast("long"), F.col(text_col)))
+    return docs.filter(stays(F.col(id_col).cast("long"), valid_text(F.col(text_col))))

@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -124,6 +126,32 @@ def test_hostile_documents(spark, tmp_path):
     assert len(rows) > len(pieces)
 
 
+def test_texts_that_are_no_utf8(spark, tmp_path):
+    """Every stage takes them as if U+FFFD stood for the broken bytes, and carries the bytes along."""
+    given = pq.read_table(f"{DATA}/documents.parquet")
+    texts = [t.encode() for t in given["text"].to_pylist()]
+    whole = max(texts[:50], key=len)
+    texts[:2] = [whole[:300] + b" \xff\xfe " + whole[300:600], whole[600:1200] + b"\xe2\x82"]
+    left = {}
+    for kind in ("raw", "replaced"):
+        folder = str(tmp_path / kind)
+        os.mkdir(folder)
+        for t in ("labels", "benchmark"):
+            os.symlink(f"{DATA}/{t}.parquet", f"{folder}/{t}.parquet")
+        column = pa.array(texts if kind == "raw" else [t.decode("utf-8", "replace").encode() for t in texts], pa.binary()).view(pa.string())
+        pq.write_table(given.set_column(given.column_names.index("text"), "text", column), f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        kept = {r.doc_id: bytes(r.text) for r in docs.selectExpr("doc_id", "cast(text as binary) as text").collect()}
+        left[kind] = kept, {r.doc_id: r.doc_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()}
+    ids = given["doc_id"].to_pylist()[:2]
+    (raw, raw_tokens), (replaced, replaced_tokens) = left["raw"], left["replaced"]
+    assert set(raw) == set(replaced) and raw_tokens == replaced_tokens and set(ids) <= set(raw)
+    assert [raw[i] for i in ids] == texts[:2] and replaced[ids[0]] != texts[0]
+
+
 @pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
 def test_empty_tables(spark, tmp_path, empty):
     folder = str(tmp_path)
